@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import langid, quality, simhash
+from rowsmith.llm import decontam, langid, licences, quality, simhash, tokenfile, warc
 from rowsmith.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,30 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_simhash": op9_simhash, "op2_language_id": op2_language_id}
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.crawl(documents(spark, sf_dir, "pages")))
+    page = F.expr("record_id div 2").alias("page_id")
+    return found.select(page, "url_key", "refers_to", "status", warc.header_text(F.col("headers")).alias("headers"))
+
+
+def op6_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_back(tokenfile.encode(documents(spark, sf_dir), "word_bpe_49k.json", end=2))
+
+
+QUERIES |= {
+    "op1_license_scan": op1_license_scan,
+    "op4_decontamination": op4_decontamination,
+    "op5_warc_revisits": op5_warc_revisits,
+    "op6_bitplane_tokens": op6_bitplane_tokens,
+}
+SQL |= {"op1_license_scan": licences.sql(), "op5_warc_revisits": warc.SQL}
