@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontam, langid, licences, quality, simhash, tokenfile, warc
+from rowsmith.llm import decontam, langid, licences, quality, simhash, substring, suffix, tokenfile, warc
 from rowsmith.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,14 @@ QUERIES |= {
     "op6_bitplane_tokens": op6_bitplane_tokens,
 }
 SQL |= {"op1_license_scan": licences.sql(), "op5_warc_revisits": warc.SQL}
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(documents(spark, sf_dir), length=400)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir), width=20)
+
+
+QUERIES |= {"op3_suffix_dedup": op3_suffix_dedup, "op7_substring_dedup": op7_substring_dedup}
