@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontam, langid, licences, quality, simhash, substring, suffix, tokenfile, warc
+import corpus_pipeline
+from rowsmith.llm import decontam, langid, licences, pieces, quality, simhash, substring, suffix, tokenfile, warc
 from rowsmith.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_suffix_dedup": op3_suffix_dedup, "op7_substring_dedup": op7_substring_dedup}
+
+
+def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), k=2, model="piece_bpe_32k.model", seed=0)
+
+
+QUERIES["op8_sentencepiece_sampling"] = op8_sentencepiece_sampling
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

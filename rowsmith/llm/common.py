@@ -54,6 +54,18 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(at)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of about `limit` bytes, from smaller ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= limit:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def bounds(joined: bytes) -> tuple[list[int], list[int]]:
     """Starts and ends of the words of a text whose words are joined by one space."""
     if not joined:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import slices, write_table
+from rowsmith.llm.common import gathered, slices, write_table
 
 CHUNK = 1 << 16  # ids
 SEGMENT = 1 << 19  # ids after which a segment ends, at a document's end
@@ -158,9 +158,9 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END
                 [{"shard": shard, "segment": number, "n_tokens": total, "doc_ids": names, "sizes": sizes, "payload": write_segment(np.concatenate(held), bits=bits)}], schema=kind
             )
 
-        for batch in batches:
+        for batch in gathered(batches):
             kind = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
-            for part in slices(batch, limit=1_000_000):
+            for part in slices(batch):
                 ids, per_text = library.encode(part.column("text").to_pylist(), end)
                 held.append(ids)
                 names += part.column("doc_id").to_pylist()
