@@ -30,6 +30,7 @@ SAMPLE = 600
 LEAST = 50
 KEEP_SHARE = 0.75  # of a group's rows, the ones that the estimate rests on
 CONCENTRATIONS = 2
+SALTS = 32
 QUANTILE = 0.99999
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -220,15 +221,18 @@ def quality(docs: DataFrame) -> DataFrame:
     )
     keys = keys.join(keys.groupBy("g").agg(F.sum("size").alias("rows")), "g").filter(F.col("rows") >= LEAST)
     keys = write_table(keys.select("own", "g", "rows"), "quality-keys")
-    judged = stats.filter(~F.col("base_failed")).join(keys, "own").select("doc_id", "g", "rows", *DIMS)
+    # parameters are repeated under SALTS keys, so that a group's rows meet them in as many tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    judged = stats.filter(~F.col("base_failed")).join(keys, "own").select("doc_id", "g", "rows", salt, *DIMS)
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
     chance = (F.xxhash64("doc_id", *DIMS).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) * F.col("rows")
     sample = judged.filter(chance < SAMPLE).select("g", *DIMS)
     params = sample.groupBy("g").applyInArrow(_start, "g string, m array<double>, w array<double>")
     for _ in range(CONCENTRATIONS):
-        near = judged.join(params, "g").select("g", *DIMS, _distance().alias("d"))
+        near = judged.join(salted(params), ["g", "salt"]).select("g", "salt", *DIMS, _distance().alias("d"))
         limit = near.groupBy("g").agg(F.percentile_approx("d", KEEP_SHARE, 1000).alias("limit"))
-        near = near.join(limit, "g").filter(F.col("d") <= F.col("limit"))
+        near = near.join(salted(limit), ["g", "salt"]).filter(F.col("d") <= F.col("limit"))
         params = write_table(_estimates(near), "quality-fit")
     scored = stats.join(keys.select("own", "g").join(params, "g"), "own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return scored.select(
