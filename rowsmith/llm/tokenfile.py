@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,23 @@ def read_segment(data: bytes, only: int | None = None) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Marks that may stand behind a word: they are neither letters nor digits and combine with nothing, so the
+#: pre-tokeniser cuts before them, and a run of them is a word of its own.
+TAIL = ",.!?;:*$%&#|"
+
+
+def stem(piece: str) -> tuple[str, str]:
+    """A piece as a word and the marks behind it; an ASCII word in lower case, as the normaliser has it. What
+    might hold a special token stays whole."""
+    if "<|" in piece:
+        return piece, ""
+    word = piece.rstrip(TAIL)
+    tail = piece[len(word) :]
+    if tail and word and not word[-1].lower().isalpha():  # a dotted capital I has a mark of its own when lower
+        return piece, ""
+    return (word.lower() if word.isascii() else word), tail
+
+
 class Encoder:
     """Ids of texts, by pieces between spaces and line ends."""
 
@@ -103,22 +121,30 @@ class Encoder:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {"": 0}
+        self.known: dict[str, list[int]] = {"": []}  # ids of words
         self.start, self.size, self.flat, self.used = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64), np.zeros(1 << 20, np.uint32), 0
 
     def learn(self, pieces: list[str]) -> None:
         if len(self.number) + len(pieces) > CACHE:
             self.clear()
-        n = len(self.number) + len(pieces)
-        if n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros(n - len(x), np.int64)]) for x in (self.start, self.size))
-        for piece, found in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids = found.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            k = self.number[piece] = len(self.number)
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        stems = [stem(p) for p in pieces]
+        new = list({x for s in stems for x in s} - self.known.keys())
+        if len(self.known) + len(new) > CACHE:
+            self.known = {"": []}
+            new = list({x for s in stems for x in s} - self.known.keys())
+        self.known.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        ids = [self.known[word] + self.known[tail] if tail else self.known[word] for word, tail in stems]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        k, n = len(self.number), len(self.number) + len(pieces)
+        while n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start[k:n], self.size[k:n] = self.used + np.cumsum(size) - size, size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.number.update(zip(pieces, range(k, n), strict=True))
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's number of them, with the end id."""
