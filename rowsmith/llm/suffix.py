@@ -6,6 +6,8 @@ suffix the previous and the next smaller position in suffix order are its neares
 longer of the two common prefixes is its longest previous factor. A start whose factor reaches `length` is a
 copy of the earlier start that it points to. Removing only copies keeps the first; here both go.
 
+Starts without an equal string in the block are left out by hash before suffixes are sorted.
+
 A corpus is no block, so blocks are formed of the text that matters. The smallest GRAM-byte hash in each
 window of `length` bytes is its mark; equal windows have equal marks. Consecutive windows of one mark are a
 run. In a first round (see chunks.py) buckets of marks learn each chunk's distinct runs: a run that occurs twice is
@@ -67,12 +69,12 @@ def smaller(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     def previous(a: np.ndarray) -> np.ndarray:
         out = np.arange(len(a)) - 1
-        while True:
-            bad = np.flatnonzero(out >= 0)
+        bad = np.arange(1, len(a))
+        while len(bad):
             bad = bad[a[out[bad]] > a[bad]]
-            if not len(bad):
-                return out
             out[bad] = out[out[bad]]
+            bad = bad[out[bad] >= 0]
+        return out
 
     n = len(positions)
     return previous(positions), n - 1 - previous(positions[::-1])[::-1]
@@ -108,18 +110,76 @@ def longest_previous_factor(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lpf, source
 
 
+def window_hashes(data: np.ndarray, length: int, factor: int) -> np.ndarray:
+    """A 64-bit hash of the `length` bytes from each position on, by doubling."""
+    out, have, power = None, 0, 1  # hash of the first `have` bytes, factor ** have
+    h, size, f = _mixed(data.astype(np.uint64) + np.uint64(factor & 0xFFFF)), 1, factor
+    while True:
+        if length & size:
+            if out is None:
+                out, have, power = h, size, f
+            else:
+                n = len(data) - have - size + 1
+                out = out[:n] * np.uint64(f) + h[have : have + n]
+                have, power = have + size, power * f % (1 << 64)
+        if 2 * size > length:
+            return _mixed(out)
+        h = h[:-size] * np.uint64(f) + h[size:]
+        size, f = 2 * size, f * f % (1 << 64)
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The given starts, whose strings of `length` bytes differ, in suffix order: by eight bytes at a time,
+    each time only where starts are still tied."""
+    words = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
+    key = lambda at: np.ascontiguousarray(words[np.minimum(at, len(data))]).view(">u8").ravel().astype(np.uint64)
+    out = starts.copy()
+    group = np.zeros(len(out), np.int64)
+    live, depth = np.arange(len(out)), 0
+    while len(live) and depth < length:
+        k = key(out[live] + depth)
+        order = np.lexsort((k, group[live])) if depth else np.argsort(k, kind="stable")
+        out[live], k, g = out[live][order], k[order], group[live]  # groups are contiguous, so they stay in place
+        first = chunks.new_class(g, k)
+        group[live] = live[np.flatnonzero(first)][np.cumsum(first) - 1]
+        tied = ~(first & np.r_[first[1:], True])
+        live, depth = live[tied], depth + 8
+    return out
+
+
 def repeats(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
-    """Of the valid starts those whose longest previous factor reaches `length`, and those they copy."""
-    rank = ranks(data, length)
-    starts = np.flatnonzero(valid)
-    order = starts[np.argsort(rank[starts], kind="stable")]
+    """Of the valid starts those whose longest previous factor reaches `length`, and those they copy.
+
+    Starts whose string has a hash of its own in the block can't be among them; of the others one of each
+    class goes into the suffix array, and its equals stand beside it."""
     out = np.zeros(len(data), bool)
-    before, after = smaller(order)
-    for place in (before, after):
-        has = np.flatnonzero((place >= 0) & (place < len(order)))
-        match = has[rank[order[has]] == rank[order[place[has]]]]  # the common prefix has `length` bytes
-        out[order[match]] = True
-        out[order[place[match]]] = True
+    starts = np.flatnonzero(valid)
+    if len(starts) < 2:
+        return out
+    a = window_hashes(data, length, 0x9E3779B97F4A7C15)[starts]
+    order = np.argsort(a, kind="stable")
+    twin = a[order][1:] == a[order][:-1]
+    order = order[np.r_[False, twin] | np.r_[twin, False]]
+    if not len(order):
+        return out
+    b = window_hashes(data, length, 0xD1B54A32D192ED03)[starts]
+    order = order[np.lexsort((b[order], a[order]))]  # stable: equals by position
+    starts = starts[order]
+    first = chunks.new_class(a[order], b[order])
+    size = np.diff(np.r_[np.flatnonzero(first), len(starts)])
+    heads = starts[first]
+    in_order = suffix_order(data, heads, length)
+    place = np.empty(len(data), np.int64)
+    place[in_order] = np.arange(len(in_order))
+    klass = np.repeat(place[heads], size)
+    by = np.argsort(klass, kind="stable")
+    starts, klass = starts[by], klass[by]
+    before, after = smaller(starts)
+    for near in (before, after):
+        has = np.flatnonzero((near >= 0) & (near < len(starts)))
+        match = has[klass[has] == klass[near[has]]]  # the common prefix has `length` bytes
+        out[starts[match]] = True
+        out[starts[near[match]]] = True
     return out
 
 
