@@ -106,7 +106,7 @@ def read_ranged(spark: SparkSession, read_at: ReadAt, size: int, columns: list[s
         def schema(self):
             return schema
 
-        def reader(self, _):
+        def reader(self, schema):
             return RangedReader(read_at, size, names)
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
