@@ -9,8 +9,8 @@ serves; with each segment stand the doc_ids and lengths of its documents, which
 
 Rows are put in order by a range partitioning of the texts; a first position follows from sums in two levels
 (over the partitions, then within each). Encoding is by white-space pieces: pieces are encoded once by the
-library and kept in a table of at most CACHE pieces, which is exact as neither the normaliser nor the
-pre-tokeniser of the vocabulary works across white space.
+library and kept in tables of at most PIECES pieces and WORDS words, which is exact as neither the normaliser nor
+the pre-tokeniser of the vocabulary works across white space.
 
 Defined cases: a null or empty text has only the end id; null doc_ids come first; repeated rows each get
 a row, in order of a hash of the text; other columns are ignored.
@@ -36,7 +36,8 @@ from rowsmith.llm.common import gathered, slices, write_table
 
 CHUNK = 1 << 16  # ids
 SEGMENT = 1 << 19  # ids after which a segment ends, at a document's end
-CACHE = 300_000  # pieces
+PIECES = 500_000  # remembered at most, beside those of one slice
+WORDS = 600_000  # likewise; about 200 bytes each
 MAGIC = b"BITPLANE"
 HEAD = struct.Struct("<8sIIIHBB")  # magic, ids, ids to a chunk, chunks, planes, 1 for bits, bytes of an id
 END = 2
@@ -108,8 +109,18 @@ def stem(piece: str) -> tuple[str, str]:
     return (word.lower() if word.isascii() else word), tail
 
 
+def room(table: np.ndarray, n: int) -> np.ndarray:
+    """The table with at least n rows, twice as many as before if it grows."""
+    if n <= len(table):
+        return table
+    out = np.zeros((max(n, 2 * len(table)), *table.shape[1:]), table.dtype)
+    out[: len(table)] = table
+    return out
+
+
 class Encoder:
-    """Ids of texts, by pieces between spaces and line ends."""
+    """Ids of texts, by pieces between spaces and line ends. A piece is a word and a tail, each a row of a table
+    of ids; pieces and words are forgotten apart, so a full table of pieces doesn't cost the words."""
 
     def __init__(self, name: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,50 +128,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
-        self.clear()
+        self.clear_words()
+
+    def clear_words(self) -> None:
+        self.words: dict[str, int] = {"": 0}
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.clear_pieces()
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.known: dict[str, list[int]] = {"": []}  # ids of words
-        self.start, self.size, self.flat, self.used = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64), np.zeros(1 << 20, np.uint32), 0
+    def clear_pieces(self) -> None:
+        self.pieces: dict[str, int] = {"": 0}
+        self.parts = np.zeros((1 << 16, 2), np.int32)  # rows of a piece's word and tail
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.number) + len(pieces) > CACHE:
-            self.clear()
         stems = [stem(p) for p in pieces]
-        new = list({x for s in stems for x in s} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": []}
-            new = list({x for s in stems for x in s} - self.known.keys())
-        self.known.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        ids = [self.known[word] + self.known[tail] if tail else self.known[word] for word, tail in stems]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        k, n = len(self.number), len(self.number) + len(pieces)
-        while n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[k:n], self.size[k:n] = self.used + np.cumsum(size) - size, size
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.number.update(zip(pieces, range(k, n), strict=True))
+        wanted = {x for s in stems for x in s}
+        new = list(wanted - self.words.keys())
+        if new:
+            ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+            k, n = len(self.words), len(self.words) + len(new)
+            self.start, self.size, self.flat = room(self.start, n), room(self.size, n), room(self.flat, self.used + len(flat))
+            self.start[k:n], self.size[k:n] = self.used + np.cumsum(size) - size, size
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.words.update(zip(new, range(k, n), strict=True))
+        k, n = len(self.pieces), len(self.pieces) + len(pieces)
+        self.parts = room(self.parts, n)
+        row = self.words
+        self.parts[k:n] = [(row[word], row[tail]) for word, tail in stems]
+        self.pieces.update(zip(pieces, range(k, n), strict=True))
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's number of them, with the end id."""
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        pieces = [p for s in split for p in s]
-        missing = list(set(pieces) - self.number.keys())
+        pieces = list(chain.from_iterable(split))
+        distinct = set(pieces)
+        missing = list(distinct - self.pieces.keys())
+        if len(self.pieces) + len(missing) > PIECES:
+            self.clear_pieces()
+            missing = list(distinct - self.pieces.keys())
+        if len(self.words) + len(missing) > WORDS:
+            self.clear_words()
+            missing = list(distinct - self.pieces.keys())
         if missing:
-            if len(self.number) + len(missing) > CACHE:
-                self.clear()
-                missing = list(set(pieces) - self.number.keys())
             self.learn(missing)
-        k = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[k]
-        per_text = np.add.reduceat(size, np.cumsum([0, *map(len, split)])[:-1])
-        at = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.start[k] - at, size) + np.arange(int(size.sum()))]
+        part = self.parts[np.fromiter(map(self.pieces.__getitem__, pieces), np.int32, len(pieces))].ravel()
+        size = self.size[part]
+        after = np.cumsum(size, dtype=np.int64)
+        per_text = np.add.reduceat(size, 2 * np.cumsum([0, *map(len, split)])[:-1], dtype=np.int64)
+        ids = self.flat[np.repeat(self.start[part] - after + size, size) + np.arange(int(after[-1]))]
         return np.insert(ids, np.cumsum(per_text), end), per_text + 1
 
 
