@@ -38,7 +38,9 @@ from rowsmith.llm.common import gathered, slices
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SLICE = 3_000_000  # bytes of text at once
+BLOCK = 60_000  # characters of distinct words at once
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+GRAIN = float(1 << 40)  # of probabilities within a step
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,11 +97,14 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of ids; one leading space, the model's own, goes."""
-        ids = np.asarray(ids, np.int64)
+        return self.joined(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+
+    def joined(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
-        before = np.cumsum(size) - size
-        out = self.flat[np.repeat(self.at[ids] - before, size) + np.arange(int(size.sum()))].tobytes()
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        upto = np.cumsum(size)
+        n = int(upto[-1]) if len(ids) else 0
+        out = self.flat[np.repeat(self.at[ids] - upto + size, size) + np.arange(n)].tobytes()
+        return out[1:] if out[:1] == b" " else out
 
 
 @cache
@@ -114,65 +119,92 @@ class Lattice:
         size = np.array(list(map(len, words)), np.int64)
         self.end = np.cumsum(size)
         self.begin = self.end - size
+        n = int(self.end[-1])
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        left = (np.repeat(self.end, size) - np.arange(n)).astype(np.int32)
+        self.spelled: list[np.ndarray] = []
+        self.edges = np.zeros(n + 1, np.int64)  # the first edge from each place
+        parts, at, n_edges = [], 0, 0
+        while at < n:  # blocks of words that fit in the processor's cache
+            to = int(self.end[min(np.searchsorted(self.end, at + BLOCK), len(words) - 1)])
+            edges, first, width, piece, goal, logp, upto = self.block(v, code[at:to], left[at:to])
+            self.edges[at:to] = edges + n_edges
+            parts.append((first + n_edges, width, piece, np.where(goal == to - at, n, goal + at).astype(np.int32), logp, upto))
+            at, n_edges = to, n_edges + len(piece)
+        self.first, self.width, self.piece, self.to, self.logp, self.upto = map(np.concatenate, zip(*parts, strict=True))
+        self.done = self.to == n  # a word's end is place n
+
+    def block(self, v: Vocabulary, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The edges of some words: first edge of each place; first edges and widths in order; piece, goal,
+        log-probability and cumulated probability of each edge."""
         n = len(code)
-        left = np.repeat(self.end, size) - np.arange(n)
-        starts, lengths, ids = [], [], []
-        at, h = np.arange(n), np.zeros(n, np.uint64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # for each length from 1: places, pieces
+        at, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
         for k, (bits, hashes, own) in enumerate(v.tables, 1):
-            ok = left[at] >= k
-            at, h = at[ok], h[ok]
-            h = (h + code[at + k - 1] + np.uint64(1)) * FACTOR
+            if k > 1:
+                ok = left[at] >= k
+                at, h = at[ok], h[ok]
+            h = (h + code[at + (k - 1)] + np.uint64(1)) * FACTOR
             h ^= h >> np.uint64(29)
-            ok = bits[(h & np.uint64(0x3FFFF)).astype(np.int64)]
+            ok = bits[(h & np.uint64(0x3FFFF)).astype(np.int32)]
             at, h = at[ok], h[ok]
-            if not len(at):
-                break
-            if len(hashes):
-                place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = hashes[place] == h
-                starts.append(at[hit])
-                lengths.append(np.full(int(hit.sum()), k))
-                ids.append(own[place[hit]])
-        single = np.zeros(n, bool)
-        if starts and len(lengths[0]) and lengths[0][0] == 1:
-            single[starts[0]] = True
-        bare = np.flatnonzero(~single)  # as bytes: ids from `spelled` on
-        starts.append(bare)
-        lengths.append(np.ones(len(bare), np.int64))
-        ids.append(-1 - np.arange(len(bare)))
-        self.spelled = [v.bytes[np.frombuffer(chr(int(code[i])).encode("utf-8", "surrogatepass"), np.uint8)] for i in bare.tolist()]
-        start, length, piece = np.concatenate(starts).astype(np.int64), np.concatenate(lengths).astype(np.int64), np.concatenate(ids).astype(np.int64)
-        weight = np.where(piece >= 0, v.weight[np.maximum(piece, 0)], 0.0)
-        for k, s in enumerate(self.spelled):
-            weight[len(weight) - len(bare) + k] = v.weight[s].sum()
-        order = np.lexsort((-length, start, left[start]))  # long pieces first: most often taken
-        start, self.piece, weight = start[order], piece[order], weight[order]
-        self.to = start + length[order]
-        last = self.to == np.repeat(self.end, size)[start]
+            if not len(hashes):
+                found.append((at[:0], own))
+                continue
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[place] == h
+            found.append((at[hit], own[place[hit]].astype(np.int32)))
+        single, piece_1 = found[0]
+        first = np.zeros(n, np.int32)  # every place has one edge of one character: a piece, or its bytes
+        first[single] = piece_1
+        bare = np.ones(n, bool)
+        bare[single] = False
+        bare = np.flatnonzero(bare)
+        first[bare] = -1 - len(self.spelled) - np.arange(len(bare))
+        found[0] = (np.arange(n, dtype=np.int32), first)
+        self.spelled += [v.bytes[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)] for c in code[bare].tolist()]
+        # edges stand by the characters left in the word, by place, and long pieces first: most often taken
+        order = np.argsort(left, kind="stable")
+        width = np.zeros(n, np.int32)
+        for at, _ in found:
+            width[at] += 1
+        free = width
+        width = width[order]
+        first = np.cumsum(width) - width
+        edges = np.zeros(n, np.int64)
+        edges[order] = first
+        free = free + edges
+        piece, goal = np.empty(int(width.sum()), np.int32), np.empty(int(width.sum()), np.int32)
+        for k, (at, ids) in enumerate(found, 1):
+            slot = free[at] - 1
+            free[at] = slot
+            piece[slot] = ids
+            goal[slot] = np.where(left[at] == k, n, at + k)  # a word's end is place n
+        weight = v.weight[np.maximum(piece, 0)]
+        if len(bare):
+            by_bytes = np.flatnonzero(piece < 0)
+            weight[by_bytes] = [float(v.weight[self.spelled[i]].sum()) for i in (-1 - piece[by_bytes]).tolist()]
+        logp, upto = weight, np.empty(len(weight))
         beta = np.zeros(n + 1)
-        total = np.empty(len(start))
-        cut = np.r_[np.flatnonzero(np.diff(left[start], prepend=-1)), len(start)]
-        group = np.flatnonzero(np.diff(start, prepend=-1))
-        for i in range(len(cut) - 1):
-            s, e = cut[i], cut[i + 1]
-            total[s:e] = weight[s:e] + np.where(last[s:e], 0.0, beta[self.to[s:e]])
-            own = group[np.searchsorted(group, s) : np.searchsorted(group, e)] - s
-            top = np.maximum.reduceat(total[s:e], own)
-            width = np.diff(np.r_[own, e - s])
-            beta[start[s:e][own]] = top + np.log(np.add.reduceat(np.exp(total[s:e] - np.repeat(top, width)), own))
-        self.logp = np.minimum(total - beta[start], 0.0)
-        p = np.exp(self.logp)
-        width = np.diff(np.r_[group, len(start)])
-        below = np.cumsum(p)
-        below -= np.repeat((below - p)[group], width)
-        below[group + width - 1] = 2.0  # whatever rounding left
-        self.upto = below
-        self.edges = np.zeros(n + 1, np.int64)  # the first edge from each place
-        self.edges[start[group]] = group
-        self.first = group
-        self.width = width
-        self.done = last
+        cut = np.cumsum(np.bincount(left))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if i == j:
+                continue
+            s, e = int(first[i]), int(first[j]) if j < n else len(weight)
+            own, many = first[i:j] - s, width[i:j]
+            total = weight[s:e] + beta[goal[s:e]]
+            top = np.maximum.reduceat(total, own)
+            total -= np.repeat(top, many)
+            p = np.exp(total)
+            whole = np.add.reduceat(p, own)
+            below = np.cumsum((p / np.repeat(whole, many) * GRAIN).astype(np.int64))  # whole numbers: no rounding from neighbours
+            below -= np.repeat(np.r_[0, below[own[1:] - 1]], many)
+            below[np.r_[own[1:], e - s] - 1] = 2 * GRAIN  # whatever rounding left
+            upto[s:e] = below / GRAIN
+            whole = np.log(whole)
+            logp[s:e] = np.minimum(total - np.repeat(whole, many), 0.0)
+            beta[order[i:j]] = top + whole
+        return edges, first, width, piece, goal, logp, upto
 
     def walk(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Samples a path to the end from each place; the edges in order of the walkers, and their numbers."""
@@ -204,19 +236,18 @@ class Lattice:
 
 def bounded_gumbel(location: np.ndarray, limit: float, u: np.ndarray) -> np.ndarray:
     """Gumbel variates at the locations, given that they are below the limit."""
-    with np.errstate(over="ignore", divide="ignore"):
-        return location - np.log(np.exp(np.minimum(location - limit, 700)) - np.log(u))
+    return location - np.log(np.exp(np.minimum(location - limit, 700)) - np.log(u))
 
 
 class Search:
-    """One text's queue of subtrees: (bound, sample, place in its path, edges that are used up there)."""
+    """One text's queue of subtrees: (bound, sample, place in its path, edges that are used up there). Sums of
+    keys run over and logarithms reach minus infinity on purpose; `sample` silences both."""
 
     def __init__(self, key: np.uint64, k: int) -> None:
         self.key, self.k = key, k
         self.paths: list[tuple[np.ndarray, float]] = []
         self.queue: list[tuple[float, int, int, tuple[int, ...]]] = []
-        with np.errstate(over="ignore"):
-            self.bound = float(-np.log(-np.log(uniform(np.array([key ^ np.uint64(0xA5A5A5A5)], np.uint64))))[0])
+        self.bound = float(-np.log(-np.log(uniform(np.array([key ^ np.uint64(0xA5A5A5A5)], np.uint64))))[0])
 
     def add(self, lattice: Lattice, path: np.ndarray, base: int) -> None:
         """A new sample whose path differs from its parent's from `base` on; its side subtrees join the queue."""
@@ -224,9 +255,8 @@ class Search:
         self.paths.append((path, self.bound))
         logp = lattice.logp[path]
         prefix = np.cumsum(logp) - logp
-        with np.errstate(divide="ignore", over="ignore"):
-            side = (prefix + np.log(-np.expm1(logp)))[base:]
-            x = bounded_gumbel(side, self.bound, uniform(self.key + np.uint64(number + 1) * np.uint64(0xD1B54A32D192ED03) + np.arange(base, len(path), dtype=np.uint64)))
+        side = prefix[base:] + np.log(-np.expm1(logp[base:]))
+        x = bounded_gumbel(side, self.bound, uniform(self.key + np.uint64(number + 1) * np.uint64(0xD1B54A32D192ED03) + np.arange(base, len(path), dtype=np.uint64)))
         x[~np.isfinite(side)] = -np.inf
         need = self.k + 1
         best = np.argpartition(-x, need)[:need] if len(x) > need else np.arange(len(x))
@@ -243,8 +273,7 @@ class Search:
         path = self.paths[number][0]
         rest = np.setdiff1d(lattice.siblings(used[0]), np.array(used))
         p = np.exp(lattice.logp[rest])
-        with np.errstate(over="ignore"):
-            u = uniform(self.key + np.uint64(len(self.paths) + 1) * np.uint64(0x8CB92BA72F3D8DD7) + np.arange(2, dtype=np.uint64))
+        u = uniform(self.key + np.uint64(len(self.paths) + 1) * np.uint64(0x8CB92BA72F3D8DD7) + np.arange(2, dtype=np.uint64))
         pick = min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="right")), len(rest) - 1)
         left = float(p.sum() - p[pick])
         if len(rest) > 1 and left > 0:
@@ -260,10 +289,10 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int, see
     number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
     word = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     row = np.cumsum([0, *map(len, split)])
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", divide="ignore"):
         key = mix(keys.astype(np.uint64) * FACTOR + np.uint64(seed))
         searches = [Search(x, k) for x in key]
-        if not number:
+        if not flat:
             return [[(np.zeros(0, np.int64), 0.0, s.bound, 1.0)] for s in searches]
         lattice = Lattice(v, list(number))
         owner = np.repeat(np.arange(len(texts)), np.diff(row))
@@ -326,7 +355,7 @@ def encode(docs: DataFrame, k: int = 2, model: str = "piece_bpe_32k.model", seed
                 keys = part.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy()
                 take, number, ids, logp, bound, score, same = [], [], [], [], [], [], []
                 for i, (text, samples) in enumerate(zip(texts, sample(v, texts, keys, k, seed), strict=True)):
-                    back = (text or "").replace(SPACE, " ")
+                    back = (text or "").replace(SPACE, " ").encode()
                     for n, (x, lp, b, q) in enumerate(samples, 1):
                         take.append(i)
                         number.append(n)
@@ -334,7 +363,7 @@ def encode(docs: DataFrame, k: int = 2, model: str = "piece_bpe_32k.model", seed
                         logp.append(lp)
                         bound.append(b)
                         score.append(q)
-                        same.append(v.decode(x) == back)
+                        same.append(v.joined(x) == back)
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
