@@ -26,8 +26,10 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -229,9 +231,9 @@ class Lattice:
             out[base[w] + k] = e
         return out, count
 
-    def siblings(self, edge: int) -> np.ndarray:
+    def siblings(self, edge: int) -> range:
         g = int(np.searchsorted(self.first, edge, side="right")) - 1
-        return np.arange(self.first[g], self.first[g] + self.width[g])
+        return range(int(self.first[g]), int(self.first[g] + self.width[g]))
 
 
 def bounded_gumbel(location: np.ndarray, limit: float, u: np.ndarray) -> np.ndarray:
@@ -271,7 +273,7 @@ class Search:
         x, number, t, used = heapq.heappop(self.queue)
         self.bound = -x
         path = self.paths[number][0]
-        rest = np.setdiff1d(lattice.siblings(used[0]), np.array(used))
+        rest = np.array([e for e in lattice.siblings(used[0]) if e not in used], np.int64)
         p = np.exp(lattice.logp[rest])
         u = uniform(self.key + np.uint64(len(self.paths) + 1) * np.uint64(0x8CB92BA72F3D8DD7) + np.arange(2, dtype=np.uint64))
         pick = min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="right")), len(rest) - 1)
@@ -286,7 +288,7 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int, see
     """For each text its samples in order: ids, log-probability, perturbed log-probability, inclusion score."""
     split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     flat = [w for s in split for w in s]
-    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    number: dict[str, int] = defaultdict(count().__next__)  # words count from 0 as they come
     word = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     row = np.cumsum([0, *map(len, split)])
     with np.errstate(over="ignore", divide="ignore"):
@@ -298,8 +300,8 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int, see
         owner = np.repeat(np.arange(len(texts)), np.diff(row))
         inside = (np.arange(len(word)) - row[owner]).astype(np.uint64)
         word_key = mix(key[owner] + inside * np.uint64(0xA0761D6478BD642F))
-        edges, count = lattice.walk(lattice.begin[word], word_key)
-        place = np.r_[0, np.cumsum(count)]
+        edges, n_edges = lattice.walk(lattice.begin[word], word_key)
+        place = np.r_[0, np.cumsum(n_edges)]
         for i, s in enumerate(searches):
             s.add(lattice, edges[place[row[i]] : place[row[i + 1]]], 0)
         for turn in range(1, k):
@@ -315,8 +317,8 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int, see
                     todo.append((i, head, t, len(at[-1])))
             if not todo:
                 break
-            edges, count = lattice.walk(np.concatenate(at).astype(np.int64), np.concatenate(own_key))
-            place, base = np.r_[0, np.cumsum(count)], 0
+            edges, n_edges = lattice.walk(np.concatenate(at).astype(np.int64), np.concatenate(own_key))
+            place, base = np.r_[0, np.cumsum(n_edges)], 0
             for i, head, t, m in todo:
                 searches[i].add(lattice, np.concatenate([head, edges[place[base] : place[base + m]]]), t + 1)
                 base += m
