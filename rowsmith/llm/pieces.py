@@ -92,10 +92,13 @@ class Vocabulary:
         self.longest = max(by_length)
         self.tables = []
         for k in range(1, self.longest + 1):
-            own = sorted(by_length.get(k, []))
-            bits = np.zeros(1 << 18, bool)
-            bits[np.array([h & 0x3FFFF for h in prefixes[k]], np.int64)] = True
-            self.tables.append((bits, np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own], np.int64)))
+            own = sorted(by_length.get(k, []), key=lambda x: x[0] & 0x3FFFF)
+            slots = np.zeros(1 << 18, np.int16 if len(own) < 1 << 15 else np.int32)  # 0: nothing starts so
+            slots[np.array([h & 0x3FFFF for h in prefixes[k]], np.int64)] = -1
+            for j in range(len(own), 0, -1):  # the first piece of the slot, from 1; others follow it
+                slots[own[j - 1][0] & 0x3FFFF] = j
+            most = int(np.bincount([h & 0x3FFFF for h, _ in own]).max()) if own else 0
+            self.tables.append((slots, most, np.array([h for h, _ in own] + [0] * most, np.uint64), np.array([i for _, i in own], np.int32)))
 
     def decode(self, ids) -> str:
         """The text of ids; one leading space, the model's own, goes."""
@@ -142,20 +145,24 @@ class Lattice:
         n = len(code)
         found: list[tuple[np.ndarray, np.ndarray]] = []  # for each length from 1: places, pieces
         at, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
-        for k, (bits, hashes, own) in enumerate(v.tables, 1):
+        for k, (slots, most, hashes, own) in enumerate(v.tables, 1):
             if k > 1:
                 ok = left[at] >= k
                 at, h = at[ok], h[ok]
             h = (h + code[at + (k - 1)] + np.uint64(1)) * FACTOR
             h ^= h >> np.uint64(29)
-            ok = bits[(h & np.uint64(0x3FFFF)).astype(np.int32)]
-            at, h = at[ok], h[ok]
-            if not len(hashes):
-                found.append((at[:0], own))
-                continue
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[place] == h
-            found.append((at[hit], own[place[hit]].astype(np.int32)))
+            slot = slots[(h & np.uint64(0x3FFFF)).astype(np.int32)]
+            ok = np.flatnonzero(slot)
+            at, h, slot = at[ok], h[ok], slot[ok]
+            seek = np.flatnonzero(slot > 0)
+            places, pieces = [at[:0]], [own[:0]]
+            for turn in range(most):
+                j = slot[seek].astype(np.int32) + (turn - 1)
+                hit = hashes[j] == h[seek]
+                places.append(at[seek[hit]])
+                pieces.append(own[j[hit]])
+                seek = seek[~hit]
+            found.append((np.concatenate(places), np.concatenate(pieces)))
         single, piece_1 = found[0]
         first = np.zeros(n, np.int32)  # every place has one edge of one character: a piece, or its bytes
         first[single] = piece_1
