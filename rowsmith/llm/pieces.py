@@ -46,14 +46,22 @@ GRAIN = float(1 << 40)  # of probabilities within a step
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1), from counters."""
-    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    x = mix(x)
+    x >>= np.uint64(11)
+    u = x.astype(np.float64)
+    u += 0.5
+    u /= 1 << 53
+    return u
 
 
 class Vocabulary:
@@ -206,12 +214,14 @@ class Lattice:
             total -= np.repeat(top, many)
             p = np.exp(total)
             whole = np.add.reduceat(p, own)
-            below = np.cumsum((p / np.repeat(whole, many) * GRAIN).astype(np.int64))  # whole numbers: no rounding from neighbours
+            p *= np.repeat(GRAIN / whole, many)
+            below = np.cumsum(p.astype(np.int64))  # whole numbers: no rounding from neighbours
             below -= np.repeat(np.r_[0, below[own[1:] - 1]], many)
             below[np.r_[own[1:], e - s] - 1] = 2 * GRAIN  # whatever rounding left
-            upto[s:e] = below / GRAIN
+            np.divide(below, GRAIN, out=upto[s:e])
             whole = np.log(whole)
-            logp[s:e] = np.minimum(total - np.repeat(whole, many), 0.0)
+            total -= np.repeat(whole, many)
+            np.minimum(total, 0.0, out=logp[s:e])
             beta[order[i:j]] = top + whole
         return edges, first, width, piece, goal, logp, upto
 
