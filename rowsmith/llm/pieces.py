@@ -39,7 +39,7 @@ from rowsmith.llm.common import gathered, slices
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-SLICE = 3_000_000  # bytes of text at once
+SLICE = 6_000_000  # bytes of text at once; words are shared within a slice, samples are the same for any
 BLOCK = 60_000  # characters of distinct words at once
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 GRAIN = float(1 << 40)  # of probabilities within a step
