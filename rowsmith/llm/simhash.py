@@ -18,6 +18,7 @@ the whole sequence is the one shingle; a null doc_id counts after all others; re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -251,6 +252,8 @@ SAMPLED = 20  # bits of a table's key
 DEAL = 16, 8  # tables and bits by which a group with over GROUP members is dealt anew
 LOOSE = 1.5  # times the expected differing bits; verification decides
 ALL_PAIRS = 16  # groups up to this size give all their close pairs, larger ones the closest spanning forest
+SAMPLE_SETS = 16_000  # sets in which shingles are counted for the order of the exact join
+COMMON = 100_000  # shingles that the order knows to be frequent
 
 
 def _bit_sets(tables: int, bits: int, seed: int) -> np.ndarray:
@@ -384,21 +387,144 @@ def _closest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return kept[:, 1], kept[:, 2]
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id of every row with a doc_id: documents whose sets of `words`-word shingles have a
-    Jaccard similarity of at least `similarity`, directly or through others, share the smallest doc_id.
+def common_shingles(nodes: DataFrame, table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a bounded sample of sets, sorted, and how many of the sets have each. They only give the
+    order of `exact_pairs`, which is exact under any order."""
+    share = min(1.0, SAMPLE_SETS / max(1, nodes.count()))
+    chosen = table.filter(F.xxhash64("set_id", F.lit(1)).bitwiseAND(F.lit((1 << 53) - 1)) < share * (1 << 53))
 
-    Fingerprints of 64 * WIDE bits send each distinct set to TABLES groups by sampled bits; close pairs of a
-    group are candidates, and each is verified on the shingles. A pair at similarity 0.8 shares a group with
-    probability 0.91, at 0.85 with 0.98, at 0.9 with 0.999. Groups over GROUP members are dealt anew by further
-    bits. Equal sets are one node. Null doc_ids have no row here.
-    """
-    f = [f"f{i}" for i in range(WIDE)]
-    table = write_table(shingle_table(docs.filter("doc_id IS NOT NULL"), words), "shingles")
-    nodes = write_table(table.groupBy(*f, "set_id").agg(F.min("doc_id").alias("node")), "shingle-nodes")
-    pairs = write_table(candidates(nodes, similarity), "candidates")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            fresh = []
+            for name, x in zip(b.column("set_id").to_pylist(), b.column("shingles").to_pylist(), strict=True):
+                if name not in seen:
+                    seen.add(name)
+                    fresh.append(np.frombuffer(x, np.uint32))
+            if fresh:
+                value, n = np.unique(np.concatenate(fresh), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    counted = chosen.select("set_id", "shingles").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    got = counted.filter("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    value, n = got.column("shingle").to_numpy().astype(np.uint32), got.column("n").to_numpy()
+    at = np.argsort(value)
+    return value[at], n[at]
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a sorted set, as many as a similar set must share one of."""
+    n = len(shingles)
+    weight = np.zeros(n, np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        weight = np.where(common[0][at] == shingles, common[1][at], 0)
+    first = np.argsort(weight << 32 | shingles.astype(np.int64), kind="stable")
+    return shingles[first[: n - math.ceil(similarity * n - 1e-6) + 1]] if n else shingles
+
+
+def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of nodes in different components, every pair of similar sets among them; `named` has node,
+    set_id, root. Two sets of similarity t share at least t / (1 + t) of their sizes' sum, so under one order of
+    all shingles their prefixes share one; places in the prefixes bound what they can share."""
+    common = common_shingles(named, table)
+    need = similarity / (1 + similarity)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint32) for x in b.column("shingles").to_pylist()]
+            own = [prefix(x, similarity, common).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("set_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(own, pa.binary())], names=["node", "set_id", "n", "prefix"])
+
+    short = table.select("doc_id", "set_id", "shingles").mapInArrow(prefixes, "node bigint, set_id bigint, n bigint, prefix binary")
+    short = write_table(short.join(named, ["node", "set_id"]).dropDuplicates(["node", "set_id"]), "prefixes")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint32) for x in b.column("prefix").to_pylist()]
+            length = np.array([len(x) for x in sets], np.int64)
+            row = np.repeat(np.arange(len(sets)), length)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            packed = b.column("n").to_numpy()[row] << 32 | place
+            key = np.concatenate([*sets, np.zeros(0, np.uint32)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[b.column(c).take(pa.array(row)) for c in ("node", "root")], pa.array(packed)], names=["k", "node", "root", "packed"])
+
+    dealt = short.select("node", "root", "n", "prefix").mapInArrow(spread, "k bigint, node bigint, root bigint, packed bigint")
+    groups = whole_groups(dealt)
+    columns = ["k", "part", "own", "node", "root", "packed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            held.append(np.stack([b.column(c).to_numpy() for c in columns], axis=1))
+            if sum(map(len, held)) >= 50_000:
+                rows = np.concatenate(held)
+                other = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+                last = int(other[-1]) + 1 if len(other) else 0
+                held = [rows[last:]]
+                yield from compare(rows[:last])
+        if held:
+            yield from compare(np.concatenate(held))
+
+    def compare(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        cut = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        size = np.diff(np.r_[cut, len(rows)])
+        more = np.repeat(size > 1, size)
+        rows, size = rows[more], size[size > 1]
+        if not len(rows):
+            return
+        cut = np.cumsum(size) - size
+        own, node, root, packed = rows[:, 2:].T
+        n, place = packed >> 32, packed & (1 << 32) - 1
+
+        def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            both = np.ceil(need * (n[i] + n[j]) - 1e-6)
+            can = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
+            return (root[i] != root[j]) & (can >= both) & (place[i] <= n[i] - both) & (place[j] <= n[j] - both)
+
+        group = np.repeat(np.arange(len(cut)), size)
+        # a group of two blocks compares across them only
+        crossed = np.repeat(np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut), size)
+        small = np.repeat(size <= ALL_PAIRS, size)
+        found = []
+        for shift in range(1, ALL_PAIRS):
+            i = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:]))
+            i = i[~crossed[i] | (own[i] != own[i + shift])]
+            i = i[may(i, i + shift)]
+            found.append(np.stack([node[i], node[i + shift]], axis=1))
+        yield from emit(found)
+        for g in np.flatnonzero(size > ALL_PAIRS).tolist():
+            at, end = int(cut[g]), int(cut[g] + size[g])
+            if (root[at:end] == root[at]).all():
+                continue
+            for start in range(at, end, 256):
+                i, j = np.meshgrid(np.arange(start, min(start + 256, end)), np.arange(at, min(start + 256, end)), indexing="ij")
+                ok = (j < i) & (root[i] != root[j]) & (~crossed[at] | (own[i] != own[j]))
+                i, j = i[ok], j[ok]
+                ok = may(i, j)
+                yield from emit([np.stack([node[i[ok]], node[j[ok]]], axis=1)])
+
+    def emit(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    count = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.select(*columns).repartition(count, "k", "part").sortWithinPartitions("k", "part")
+    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def whole_groups(dealt: DataFrame) -> DataFrame:
+    """Rows with k, part and own: each group is one part."""
+    return dealt.withColumn("part", F.lit(0).cast("bigint")).withColumn("own", F.lit(0).cast("bigint"))
+
+
+def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs a, b of nodes those with similar sets."""
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = table.join(ids, table.doc_id == ids.node, "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles")
+    sets = table.join(ids, table.doc_id == ids.node, "left_semi").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,6 +537,27 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    roots = components(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "similar")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of every row with a doc_id: documents whose sets of `words`-word shingles have a
+    Jaccard similarity of at least `similarity`, directly or through others, share the smallest doc_id.
+
+    Equal sets are one node. First, fingerprints of 64 * WIDE bits send each node to TABLES groups by sampled
+    bits; close pairs of a group are verified on the shingles, and those that pass make components. This finds
+    most links but not all, and decides no pair against a link. Then a prefix-filtered join on the shingles gives
+    every pair of different components that can be similar, and these are verified too; no link is lost. Null
+    doc_ids have no row here.
+    """
+    f = [f"f{i}" for i in range(WIDE)]
+    table = write_table(shingle_table(docs.filter("doc_id IS NOT NULL"), words), "shingles")
+    nodes = write_table(table.groupBy(*f, "set_id").agg(F.min("doc_id").alias("node")), "shingle-nodes")
+    pairs = write_table(candidates(nodes, similarity), "candidates")
+    near = write_table(verified(pairs, table, similarity), "near")
+    rough = components(near, "similar")
+    named = write_table(nodes.join(rough, "node", "left").select("node", "set_id", F.coalesce("root", "node").alias("root")), "rough")
+    rest = write_table(exact_pairs(table, named, similarity), "rest")
+    roots = components(near.unionByName(verified(rest, table, similarity)), "similar")
     named = nodes.join(roots, "node", "left").select(*f, "set_id", F.coalesce("root", "node").alias("component_id"))
     return table.select("doc_id", *f, "set_id").join(named, [*f, "set_id"]).select("doc_id", "component_id")
