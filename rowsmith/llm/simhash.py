@@ -306,7 +306,8 @@ def _stir(h: np.ndarray, i: int) -> np.ndarray:
 
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: nodes (distinct shingle sets) whose wide fingerprints are close and agree on a table's bits."""
+    """a, b: nodes (distinct shingle sets) whose wide fingerprints are close and agree on a table's bits. Not all of
+    them: groups are reduced and the largest cut, so that copies are settled cheaply before `exact_pairs`."""
     f = [f"f{i}" for i in range(WIDE)]
     most = most_bits(similarity)
 
@@ -337,7 +338,7 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             if sum(map(len, held)) >= 50_000:
                 rows = np.concatenate(held)
                 other = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
-                last = int(other[-1]) + 1 if len(other) else 0
+                last = int(other[-1]) + 1 if len(other) else len(rows)  # of a larger group, what is held
                 held = [rows[last:]]
                 yield from close(rows[:last])
         if held:
@@ -357,9 +358,10 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             a.append(node[i])
             b.append(node[i + shift])
         for g in np.flatnonzero(size > ALL_PAIRS).tolist():
-            x, y = _closest(fps[cut[g] : cut[g] + size[g]], most)
-            a.append(node[cut[g] + x])
-            b.append(node[cut[g] + y])
+            for at in range(int(cut[g]), int(cut[g] + size[g]), GROUP):  # exact_pairs has the pairs across
+                x, y = _closest(fps[at : min(at + GROUP, cut[g] + size[g])], most)
+                a.append(node[at + x])
+                b.append(node[at + y])
         x, y = np.concatenate(a), np.concatenate(b)
         if len(x):
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
@@ -450,7 +452,7 @@ def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(key), *[b.column(c).take(pa.array(row)) for c in ("node", "root")], pa.array(packed)], names=["k", "node", "root", "packed"])
 
     dealt = short.select("node", "root", "n", "prefix").mapInArrow(spread, "k bigint, node bigint, root bigint, packed bigint")
-    groups = whole_groups(dealt)
+    groups = bounded_groups(dealt)
     columns = ["k", "part", "own", "node", "root", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,9 +518,18 @@ def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFr
     return groups.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def whole_groups(dealt: DataFrame) -> DataFrame:
-    """Rows with k, part and own: each group is one part."""
-    return dealt.withColumn("part", F.lit(0).cast("bigint")).withColumn("own", F.lit(0).cast("bigint"))
+def bounded_groups(dealt: DataFrame) -> DataFrame:
+    """Rows with k, part and own: a group over GROUP members is dealt into blocks by a hash of the node, and each
+    pair of blocks is a part of about GROUP members, so every pair of members meets in one."""
+    sizes = dealt.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP)
+    large = write_table(sizes, "prefix-large")
+    zero = F.lit(0).cast("bigint")
+    cold = dealt.join(large, "k", "left_anti").withColumn("part", zero).withColumn("own", zero)
+    hot = dealt.join(large, "k").withColumn("blocks", F.ceil(F.col("size") * 2 / F.lit(GROUP)))
+    hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    hot = hot.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    hot = hot.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    return cold.unionByName(hot.select(cold.columns))
 
 
 def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
