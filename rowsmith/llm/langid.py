@@ -34,7 +34,7 @@ CHARS = 400_000  # at once
 @cache
 def letters() -> np.ndarray:
     """For each code point, itself if it is a letter, else a space."""
-    n = 0x30000
+    n = 0x110000
     return np.array([c if chr(c).isalpha() else 32 for c in range(n)], np.uint32)
 
 

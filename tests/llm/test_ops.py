@@ -142,6 +142,12 @@ def test_language(spark):
     assert langid.score(["123 !", None, ""], ["a"], np.zeros((1, langid.BUCKETS + 1)))[0] == ["und"] * 3
 
 
+def test_language_of_any_code_point():
+    texts = ["\U00030000\U000323af", "\U0001f3f4\U000e0067\U000e007f", "a\U000e0100 b", "\U0010ffff"]
+    assert len(langid.letters()) == sys.maxunicode + 1
+    assert langid.score(texts, ["a"], np.zeros((1, langid.BUCKETS + 1)))[0] == ["a", "und", "a", "und"]
+
+
 def test_quality_counts_and_verdict(spark, rows):
     for _, t in rows[:300]:
         assert quality.counts(t.encode())[:5] == brute.base(t)
