@@ -34,9 +34,12 @@ def get_session(app: str = "rowsmith", master: str | None = None, **conf: str) -
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, set here only where it is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a local session gets a
+    folder of its own; on a cluster that is an error, since executors wouldn't see a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
