@@ -29,11 +29,35 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Paths that `write_table` has made and nothing has dropped, in order.
+_made: list[str] = []
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which outlives any executor."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Cuts the lineage with a table in the shared folder, which outlives any executor. The tables of one
+    application stand in one folder below it."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def made() -> int:
+    """How many tables stand now, for `drop_since`."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes the tables made since `mark` other than those that `keep` read. Only for tables that no result
+    still to be computed reads."""
+    wanted = [f for df in keep for f in df.inputFiles()]
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _made[mark:]:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in wanted):
+            at = fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _made.remove(path)
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

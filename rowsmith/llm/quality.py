@@ -1,43 +1,60 @@
 """Operator 10, quality rules: base counts, then robust multivariate outliers by language and source.
 
-Each text gets counts (words, characters in words, symbols, repeated lines, repeated 3-word windows). A text
-fails the base rule if it is short or mostly repeats itself. The others are judged by a vector of transformed
-statistics: per (lang, source) group a minimum-covariance-determinant estimate gives location and scatter, and
-a vector whose squared Mahalanobis distance exceeds a chi-square quantile is rejected.
-
-The estimate follows the fast MCD scheme for many rows: random starts on a bounded sample of each group
-(`SAMPLE` rows, chosen by hash) only choose where to begin; the concentration steps and the final estimate use
-every row of the group, as distributed aggregates with partial sums, so a group of any size is never gathered.
-Groups under `LEAST` rows are pooled by language, then all together; a pool under `LEAST` rows judges nobody.
-
-Defined cases: a null or empty text has zero counts and fails the base rule; null lang or source is a group of
-its own; repeated rows each get a row; other columns of the input are ignored.
+Each text gets counts (words, characters in words, symbols, repeated lines, repeated 3-word windows, and some
+more for the statistics). A text fails the base rule if it is short or mostly repeats itself. The others are
+judged by a vector of statistics that vary in any text (`vector`): per (lang, source) group a
+minimum-covariance-determinant estimate gives location and scatter, and a vector is rejected if its squared
+Mahalanobis distance exceeds the chi-square quantile QUANTILE. No constant of the statistics' own scale takes
+part: location, scatter and the distances' unit all come from the group.
+
+The estimate is the mean and covariance of the KEEP_SHARE of a group's distinct vectors that has the smallest
+determinant, found by the fast MCD scheme: random starts on a bounded sample of each group (SAMPLE vectors by
+hash; all of them in smaller groups), each concentrated until its subset stays the same; then concentration
+steps over all vectors of all groups until no determinant falls by more than SETTLED any more. Those are
+distributed aggregates with partial sums, so a group of any size is never gathered. Copies have one vector and
+count once, so a large group of copies can't be taken for the shape of its group. The scatter is scaled so that
+the KEEP_SHARE quantile of the group's distances is that of a chi-square.
+
+QUANTILE: statistics of texts have heavier tails than Gaussian vectors, and a rejected text is lost; at 1e-9 a
+rejection isn't chance in a corpus of any size, while what isn't prose lies beyond by orders of magnitude.
+
+Defined cases: a direction without scatter in the kept share (a constant statistic, a group of one text) can't
+tell how far is far: it is left out of the distance, and the quantile's degrees of freedom are those of the
+others; groups with under LEAST vectors are pooled by language, then all together, and a pool under LEAST judges
+nobody; a null or empty text has zero counts and fails the base rule; null lang or source is a group of its own;
+repeated rows each get a row; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import bounds, raw, slices, write_table
+from rowsmith.llm.common import bounds, drop_since, made, raw, slices, write_table
 
 SAMPLE = 600
+STARTS = 30
 LEAST = 50
-KEEP_SHARE = 0.75  # of a group's rows, the ones that the estimate rests on
-CONCENTRATIONS = 2
+KEEP_SHARE = 0.75  # of a group's vectors, the ones that the estimate rests on
+SETTLED = 1e-3  # of the logarithm of a determinant
+MOST_STEPS = 100
 SALTS = 32
-QUANTILE = 0.99999
+QUANTILE = 1 - 1e-9
+NO_SCATTER = 1e-10  # a variance that is rounding only
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
-MARKS = b"!\"'()+-/:;=?@[\\]^_`{}~"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+SHORT = 3  # bytes
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_short", "n_distinct")
 DIMS = ("x0", "x1", "x2", "x3", "x4", "x5")
+P = len(DIMS)
 
 
 def counts(text: bytes | None) -> tuple[int, ...]:
@@ -70,6 +87,8 @@ def counts(text: bytes | None) -> tuple[int, ...]:
         len(lines),
         size - len(text.translate(None, UPPER)),
         size - len(text.translate(None, MARKS)),
+        sum(len(w) <= SHORT for w in words),
+        len(set(words)),
     )
 
 
@@ -91,16 +110,17 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics: log mean word length and square roots of shares."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    share = lambda c, of: F.sqrt(F.col(c) / of)
+    """The transformed statistics: mean word length, shares of marks and of capitals, of short words, how fast
+    words recur, and words to a line."""
+    one = F.lit(1)
+    n, chars = F.greatest("n_words", one), F.greatest("word_chars", one)
     return [
-        F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias("x0"),
-        share("n_symbols", n).alias("x1"),
-        share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(10))).alias("x2"),
-        share("n_repeat_words", n).alias("x3"),
-        share("n_upper", F.greatest(F.col("word_chars"), F.lit(1))).alias("x4"),
-        share("n_marks", n).alias("x5"),
+        F.log(chars / n).alias("x0"),
+        F.sqrt(F.col("n_marks") / chars).alias("x1"),
+        F.sqrt(F.col("n_upper") / chars).alias("x2"),
+        F.sqrt(F.col("n_short") / n).alias("x3"),
+        (F.log(F.greatest("n_distinct", one)) / F.log(F.greatest("n_words", F.lit(3)))).alias("x4"),
+        F.log(n / F.greatest("n_lines", one)).alias("x5"),
     ]
 
 
@@ -118,6 +138,7 @@ def chi2_cdf(x: float, k: float) -> float:
     return min(1.0, total * math.exp(-z + a * math.log(z) - math.lgamma(a)))
 
 
+@cache
 def chi2_quantile(p: float, k: float) -> float:
     lo, hi = 0.0, 400.0
     for _ in range(100):
@@ -126,36 +147,53 @@ def chi2_quantile(p: float, k: float) -> float:
     return hi
 
 
-P = len(DIMS)
-CUTOFF = chi2_quantile(QUANTILE, P)
-#: Makes the scatter of the kept share consistent for Gaussian rows.
-CONSISTENCY = KEEP_SHARE / chi2_cdf(chi2_quantile(KEEP_SHARE, P), P + 2)
-#: A floor for the scatter, since most texts have no symbol and no repeat at all: the sampling variance of a
-#: transformed share at MIN_WORDS words; for the two shares of repeats, which come in whole lines, so much that
-#: one repeat of up to half a text, where the base rule takes over, isn't an outlier by itself.
-FLOOR = np.diag([1 / (4 * MIN_WORDS)] * P)
-FLOOR[2, 2] = FLOOR[3, 3] = 0.5 / (CUTOFF / 2)
+def precision(cov: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """The inverse of a scatter in the directions that have any, the logarithm of its determinant, and the number
+    of those directions."""
+    value, basis = np.linalg.eigh(cov)
+    real = value > NO_SCATTER
+    w = (basis[:, real] / value[real]) @ basis[:, real].T
+    return w, float(np.log(np.maximum(value, NO_SCATTER)).sum()), int(real.sum())
+
 
+def distances(x: np.ndarray, m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,jk,ik->i", x - m, w, x - m)
 
-def precision(cov: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(cov * CONSISTENCY + FLOOR)
 
+def concentrate(x: np.ndarray, pick: np.ndarray, h: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """From the rows `pick` on, the h nearest rows again and again until they stay the same: determinant, location
+    and scatter."""
+    last = None
+    while True:
+        m, cov = x[pick].mean(0), np.cov(x[pick].T, bias=True)
+        w, det, _ = precision(cov)
+        if last is not None and (det >= last or np.isclose(det, last, rtol=0, atol=1e-12)):
+            return det, m, cov
+        last = det if len(pick) == h else None
+        pick = np.argsort(distances(x, m, w), kind="stable")[:h]
 
-def mcd_start(x: np.ndarray, starts: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Location and precision of the best of some random starts, each concentrated on the nearest rows."""
+
+def mcd(x: np.ndarray, starts: int = STARTS, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """The best of some random starts."""
     rng, n = np.random.default_rng(seed), len(x)
-    h = max(P + 1, math.ceil(KEEP_SHARE * n))
-    best = (math.inf, x.mean(0), precision(np.cov(x.T, bias=True)))
-    for _ in range(starts):
-        pick = x[rng.choice(n, min(n, P + 1), replace=False)]
-        for _ in range(8):
-            m, w = pick.mean(0), precision(np.cov(pick.T, bias=True))
-            d = np.einsum("ij,jk,ik->i", x - m, w, x - m)
-            pick = x[np.argsort(d, kind="stable")[:h]]
-        m, w = pick.mean(0), precision(np.cov(pick.T, bias=True))
-        if (det := -np.linalg.slogdet(w)[1]) < best[0]:
-            best = (det, m, w)
-    return best[1], best[2]
+    h = math.ceil(KEEP_SHARE * n)
+    found = [concentrate(x, rng.choice(n, min(n, P + 1), replace=False), h) for _ in range(starts)]
+    return min(found, key=lambda f: f[0])
+
+
+_PARAMS = pa.schema([("g", pa.string()), ("m", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("det", pa.float64()), ("k", pa.int32())])
+_PARAMS_SQL = "g string, m array<double>, w array<double>, det double, k int"
+
+
+def _params(g: str, m: np.ndarray, cov: np.ndarray) -> dict:
+    w, det, k = precision(cov)
+    return {"g": g, "m": m.tolist(), "w": w.ravel().tolist(), "det": det, "k": k}
+
+
+def _start(table: pa.Table) -> pa.Table:
+    x = np.column_stack([table.column(d).to_numpy() for d in DIMS])
+    x = x[np.lexsort(x.T)]  # rows come in any order
+    return pa.Table.from_pylist([_params(table.column("g")[0].as_py(), *mcd(x)[1:])], schema=_PARAMS)
 
 
 def _distance() -> Column:
@@ -174,12 +212,14 @@ _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
-    """Location and precision of each group from sums over all its given rows."""
+    """Location and precision of each group from sums over all its given rows; sums are taken from the place
+    `o`, near the mean, so that squares don't cancel."""
+    from_o = [F.col(d) - F.col("o")[i] for i, d in enumerate(DIMS)]
     sums = rows.groupBy("g").agg(
-        F.count("*").alias("n"),
-        *[F.sum(d).alias(f"s{i}") for i, d in enumerate(DIMS)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS],
-    )
+        F.count("*").alias("n"), F.first("o").alias("o"),
+        *[F.sum(from_o[i]).alias(f"s{i}") for i in range(P)],
+        *[F.sum(from_o[i] * from_o[j]).alias(f"s{i}_{j}") for i, j in _PAIRS],
+    )
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,29 +229,57 @@ def _estimates(rows: DataFrame) -> DataFrame:
                 cov = np.zeros((P, P))
                 for i, j in _PAIRS:
                     cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / r["n"] - m[i] * m[j]
-                out.append({"g": r["g"], "m": m.tolist(), "w": precision(cov).ravel().tolist()})
+                out.append(_params(r["g"], m + np.array(r["o"]), cov))
             yield pa.RecordBatch.from_pylist(out, schema=_PARAMS)
 
-    return sums.mapInArrow(invert, "g string, m array<double>, w array<double>")
+    return sums.mapInArrow(invert, _PARAMS_SQL)
 
 
-_PARAMS = pa.schema([("g", pa.string()), ("m", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))])
+def _salted(df: DataFrame) -> DataFrame:
+    """Each row under SALTS keys, so that a group's rows meet it in as many tasks."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
 
-def _start(table: pa.Table) -> pa.Table:
-    m, w = mcd_start(np.column_stack([table.column(d).to_numpy() for d in DIMS]))
-    return pa.Table.from_pylist([{"g": table.column("g")[0].as_py(), "m": m.tolist(), "w": w.ravel().tolist()}], schema=_PARAMS)
+def _limits(judged: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vectors with their distance, and the KEEP_SHARE quantile of each group's distances."""
+    near = judged.join(_salted(params.select("g", "m", "w")), ["g", "salt"]).withColumn("d", _distance())
+    return near, near.groupBy("g").agg(F.percentile_approx("d", KEEP_SHARE, 10_000).alias("limit"))
+
+
+def fit(judged: DataFrame) -> DataFrame:
+    """g, m, w and cut (the largest distance that is kept) of each group; `judged` has g, salt, rows, x0.. ."""
+    spark = judged.sparkSession
+    chance = (F.xxhash64(*DIMS).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) * F.col("rows")
+    sample = judged.filter(chance < SAMPLE).select("g", *DIMS)
+    mark = made()
+    params = write_table(sample.groupBy("g").applyInArrow(_start, _PARAMS_SQL), "quality-fit")
+    for _ in range(MOST_STEPS):
+        near, limit = _limits(judged, params)
+        near = near.withColumnRenamed("m", "o").join(_salted(limit), ["g", "salt"]).filter(F.col("d") <= F.col("limit"))
+        after = write_table(_estimates(near), "quality-fit")
+        fall = after.alias("a").join(params.alias("b"), "g").agg(F.max(F.col("b.det") - F.col("a.det"))).first()[0]
+        params = after
+        drop_since(spark, mark, params)
+        if (fall or 0) <= SETTLED:
+            break
+    ks = range(P + 1)
+    unit = F.element_at(F.array(*[F.lit(chi2_quantile(KEEP_SHARE, k) if k else 1.0) for k in ks]), F.col("k") + 1)
+    top = F.element_at(F.array(*[F.lit(chi2_quantile(QUANTILE, k) if k else 1.0) for k in ks]), F.col("k") + 1)
+    cut = write_table(params.join(_limits(judged, params)[1], "g").select("g", "m", "w", (F.col("limit") / unit * top).alias("cut")), "quality-cut")
+    drop_since(spark, mark, cut)
+    return cut
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (null where nobody judges) and kept."""
+    """doc_id, the counts, base_failed, kept and distance (in units of the cutoff; null where nobody judges)."""
     n = F.col("n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     stats = write_table(text_counts(docs).select("doc_id", "lang", "source", *COUNTS, failed.alias("base_failed"), *vector()), "quality")
 
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     stats = stats.withColumns({"lang_": tag("lang"), "own": F.concat_ws("\x1f", tag("lang"), tag("source"))})
-    sizes = stats.filter(~F.col("base_failed")).groupBy("lang_", "own").agg(F.count("*").alias("size"))
+    distinct = stats.filter(~F.col("base_failed")).select("lang_", "own", *DIMS).distinct()
+    sizes = distinct.groupBy("lang_", "own").agg(F.count("*").alias("size"))
     small = F.col("size") < LEAST
     pooled = sizes.filter(small).groupBy("lang_").agg(F.sum("size").alias("size_lang"))
     keys = (
@@ -221,21 +289,13 @@ def quality(docs: DataFrame) -> DataFrame:
     )
     keys = keys.join(keys.groupBy("g").agg(F.sum("size").alias("rows")), "g").filter(F.col("rows") >= LEAST)
     keys = write_table(keys.select("own", "g", "rows"), "quality-keys")
-    # parameters are repeated under SALTS keys, so that a group's rows meet them in as many tasks
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
-    judged = stats.filter(~F.col("base_failed")).join(keys, "own").select("doc_id", "g", "rows", salt, *DIMS)
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-
-    chance = (F.xxhash64("doc_id", *DIMS).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) * F.col("rows")
-    sample = judged.filter(chance < SAMPLE).select("g", *DIMS)
-    params = sample.groupBy("g").applyInArrow(_start, "g string, m array<double>, w array<double>")
-    for _ in range(CONCENTRATIONS):
-        near = judged.join(salted(params), ["g", "salt"]).select("g", "salt", *DIMS, _distance().alias("d"))
-        limit = near.groupBy("g").agg(F.percentile_approx("d", KEEP_SHARE, 1000).alias("limit"))
-        near = near.join(salted(limit), ["g", "salt"]).filter(F.col("d") <= F.col("limit"))
-        params = write_table(_estimates(near), "quality-fit")
-    scored = stats.join(keys.select("own", "g").join(params, "g"), "own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    salt = F.pmod(F.xxhash64(*DIMS), F.lit(SALTS)).alias("salt")
+    judged = write_table(distinct.select("*", salt).join(_salted(keys), ["own", "salt"]).select("g", "rows", "salt", *DIMS), "quality-vectors")
+    found = keys.select("own", "g").join(fit(judged), "g").select("own", "m", "w", "cut")
+    spread = F.pmod(F.xxhash64("doc_id", *DIMS), F.lit(SALTS)).alias("salt")
+    scored = stats.select("*", spread).join(_salted(found), ["own", "salt"], "left").withColumn("d", F.when(~F.col("base_failed"), _distance()))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))).alias("kept"), "distance",
+        (~F.col("base_failed") & (F.col("d").isNull() | (F.col("d") <= F.col("cut")))).alias("kept"),
+        (F.when(F.col("cut") > 0, F.col("d") / F.col("cut"))).alias("distance"),
     )

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -106,3 +107,35 @@ def base(text):
     count = collections.Counter(windows)
     again = {j + k for j, x in enumerate(windows) if count[x] > 1 for k in range(3)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again)
+
+
+def vector(text):
+    w = re.findall(SPACES, text)
+    chars, lines = sum(map(len, w)), sum(bool(re.search(SPACES, x)) for x in text.split("\n"))
+    marks, upper = len(re.findall(r"[!-/:-@\[-`{-~]", text)), len(re.findall("[A-Z]", text))
+    short = sum(len(x.encode()) <= 3 for x in w)
+    n = len(w)
+    return math.log(chars / n), math.sqrt(marks / chars), math.sqrt(upper / chars), math.sqrt(short / n), math.log(len(set(w))) / math.log(n), math.log(n / lines)
+
+
+def outliers(x, cutoff, unit, share=0.75, starts=300):
+    """Of the vectors of one group (rows of full rank) those that the determinant's smallest subset rejects."""
+    kinds, back = np.unique(x, axis=0, return_inverse=True)
+    n, p = kinds.shape
+    h = math.ceil(share * n)
+    rng, best = np.random.default_rng(99), (math.inf, None)
+    for _ in range(starts):
+        own = set(rng.choice(n, p + 1, replace=False).tolist())
+        while True:
+            y = kinds[sorted(own)]
+            solved = np.linalg.solve(np.cov(y.T, bias=True) + (1e-12 if len(own) <= p + 1 else 0) * np.eye(p), (kinds - y.mean(0)).T)
+            d = ((kinds - y.mean(0)).T * solved).sum(0)
+            near = set(np.argsort(d, kind="stable")[:h].tolist())
+            if near == own:
+                break
+            own = near
+        det = np.linalg.det(np.cov(kinds[sorted(own)].T, bias=True))
+        if det < best[0]:
+            best = (det, d)
+    d = best[1]
+    return (d / np.sort(d)[h - 1] * unit > cutoff)[back.ravel()]

@@ -160,9 +160,62 @@ def test_quality_counts_and_verdict(spark, rows):
 def test_mcd_ignores_outliers():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 1, (300, 6)), rng.normal(30, 1, (60, 6))])
-    m, w = quality.mcd_start(x)
+    _, m, cov = quality.mcd(x)
     assert np.abs(m).max() < 0.3
-    assert all((r - m) @ w @ (r - m) > quality.CUTOFF for r in x[300:])
+    assert quality.distances(x[300:], m, quality.precision(cov)[0]).min() > quality.chi2_quantile(quality.QUANTILE, 6)
+
+
+def verdicts(rows):
+    """kept by doc_id, from brute force; rows of (doc_id, group, text)."""
+    groups, out = {}, {}
+    for i, g, t in rows:
+        n, *_, repeats = brute.base(t)
+        out[i] = not (n < 50 or 100 * repeats > 50 * n)
+        if out[i]:
+            groups.setdefault(g, []).append((i, brute.vector(t)))
+    for members in groups.values():
+        gone = brute.outliers(np.array([v for _, v in members]), quality.chi2_quantile(quality.QUANTILE, 6), quality.chi2_quantile(0.75, 6))
+        out |= {i: not x for (i, _), x in zip(members, gone.tolist(), strict=True)}
+    return out
+
+
+def test_quality_verdict_is_the_mcd(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = verdicts([(r.doc_id, r.lang, r.text) for r in docs.collect()])  # no source has 50 texts: languages are the groups
+    got = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert got == want and 0 < sum(got.values()) < len(got)
+
+
+def prose(rng, size, marks):
+    known = ["".join(rng.choice("abcdefghij") for _ in range(max(1, round(rng.gauss(size, size / 3))))) for _ in range(rng.randint(90, 150))]
+
+    def word():
+        w = rng.choice(known)
+        return (w.capitalize() if rng.random() < 0.1 else w) + ("," if rng.random() < marks else "")
+
+    return "\n".join(" ".join(word() for _ in range(rng.randint(8, 14))) for _ in range(rng.randint(12, 30)))
+
+
+def test_no_fixed_rule_gives_the_verdict(spark, monkeypatch):
+    """What is usual in one source is an outlier in the other; a large source is fitted beyond its sample."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 4, 0.1), "en", "a") for i in range(300)] + [(1000 + i, prose(rng, 9, 0.3), "en", "b") for i in range(300)]
+    rows += [(2000 + i, prose(rng, 9, 0.3), "en", "a") for i in range(5)] + [(3000 + i, prose(rng, 4, 0.1), "en", "b") for i in range(5)]
+    rows += [(4000 + i, rows[0][1], "en", "a") for i in range(400)]  # copies don't shape their group
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    want = verdicts([(i, s, t) for i, t, _, s in rows])
+    assert [i for i, ok in want.items() if not ok] == [*range(2000, 2005), *range(3000, 3005)]
+    for sample in (quality.SAMPLE, 150):
+        monkeypatch.setattr(quality, "SAMPLE", sample)
+        assert {r.doc_id: r.kept for r in quality.quality(docs).collect()} == want
+
+
+def test_constant_statistics(spark):
+    """Without scatter in any direction nobody is rejected; in one direction, the others decide."""
+    text = lambda i: " ".join(["aa", "b"] * 40 + [f"w{i:04d}"])
+    same = [(i, " ".join(f"w{(i * 7 + k) % 1000:03d}" for k in range(60)), "x", "s") for i in range(80)]
+    docs = spark.createDataFrame([(i, text(i), "x", "s") for i in range(60)] + [(100 + r[0], *r[1:]) for r in same], "doc_id bigint, text string, lang string, source string")
+    assert quality.quality(docs).filter("NOT base_failed AND NOT kept").count() == 0
 
 
 @pytest.mark.parametrize("bits", [False, True])
