@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def plan_text(df: DataFrame) -> str:
@@ -20,6 +21,22 @@ def scan_schema(df: DataFrame) -> list[str]:
     return re.findall(r"ReadSchema: (struct<.*>)", plan_text(df))
 
 
+def num_leaves(df: DataFrame) -> int:
+    """How many leaf columns the scans read."""
+
+    def leaves(kind: T.DataType) -> int:
+        if isinstance(kind, T.StructType):
+            return sum(leaves(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return leaves(kind.elementType)
+        if isinstance(kind, T.MapType):
+            return leaves(kind.keyType) + leaves(kind.valueType)
+        return 1
+
+    scans = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves(T._parse_datatype_json_string(scans.apply(i).schema().json())) for i in range(scans.size()))
+
+
 def has_shuffle(df: DataFrame) -> bool:
     return "Exchange" in plan_text(df)
 

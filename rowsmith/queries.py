@@ -1,8 +1,13 @@
-"""The query catalogue: one query per reader operation, with the SQL that gives the same rows."""
+"""The query catalogue: one query per reader operation, with the SQL that gives the same rows.
+
+Queries over nested or evolving files write those files to the scratch folder once in an application, from the
+driver's tables, and read them from there.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +16,8 @@ from pyspark.sql import functions as F
 from rowsmith.functions.fields import ListOf, MapOf, Record, Scalar, Struct, field, nanos_to_timestamp
 from rowsmith.operators.predicates import And, Not, Or, Predicate, col
 from rowsmith.operators.relation import bind_frame
-from rowsmith.session import configure
-from rowsmith.sources.parquet import locate_rows, read
+from rowsmith.session import configure, scratch_dir
+from rowsmith.sources.parquet import footer, locate_rows, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +54,28 @@ def query(name: str, sql: str | None):
     return put
 
 
+_written: dict[tuple[str, ...], str] = {}
+
+
+def written(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame | dict[str, DataFrame]]) -> str:
+    """The folder of files made from the tables in `d`: one table, or several files by name."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _written:
+        folder = f"{scratch_dir(spark)}/{key[0]}/{name}-{uuid.uuid4().hex}"
+        made = make()
+        for part, df in made.items() if isinstance(made, dict) else [("", made)]:
+            df.write.parquet(f"{folder}/{part}".rstrip("/"))
+        _written[key] = folder
+    return _written[key]
+
+
+def nested(spark: SparkSession, d: str, name: str, table: str, *columns: str) -> str:
+    """A file of one table's SQL expressions."""
+    return written(spark, d, name, lambda: spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*columns))
+
+
 simple("full_scan", "orders", "", None, "")
+simple("full_lineitem", "lineitem", "", None, "")
 simple("project_1", "lineitem", "l_quantity", None, "")
 simple("project_3", "lineitem", "l_orderkey l_quantity l_shipdate", None, "")
 simple("project_5", "lineitem", "l_orderkey l_partkey l_quantity l_extendedprice l_returnflag", None, "")
@@ -70,6 +96,7 @@ simple("in_int", "orders", "o_orderkey o_custkey", col("o_custkey").isin(*range(
 simple("in_empty", "orders", "o_orderkey", col("o_custkey").isin(), "false")
 simple("not_in", "events", "event_id event_type", Not(col("event_type").isin("click", "view")), "event_type NOT IN ('click', 'view')")
 simple("and_multi", "orders", "o_orderkey o_totalprice", And(col("o_totalprice").greater(1000), col("o_orderstatus").equal("F"), col("o_custkey").less(500)), "o_totalprice > 1000 AND o_orderstatus = 'F' AND o_custkey < 500")
+simple("not_and", "orders", "o_orderkey", Not(And(col("o_totalprice").greater(1000), col("o_orderstatus").equal("F"))), "NOT (o_totalprice > 1000 AND o_orderstatus = 'F')")
 simple("or_cross", "orders", "o_orderkey o_totalprice", Or(col("o_totalprice").greater(400000), col("o_orderstatus").equal("P")), "o_totalprice > 400000 OR o_orderstatus = 'P'")
 simple("nested_and_or", "orders", "o_orderkey", And(Or(col("o_orderstatus").equal("F"), col("o_orderstatus").equal("O")), Not(And(col("o_custkey").less(100), col("o_totalprice").less(200000)))), "(o_orderstatus = 'F' OR o_orderstatus = 'O') AND NOT (o_custkey < 100 AND o_totalprice < 200000)")
 simple("not_leaf", "lineitem", "l_orderkey l_quantity", Not(col("l_quantity").less(25)), "NOT (l_quantity < 25)")
@@ -138,85 +165,123 @@ def nan_guard(spark, d):
     return bind_frame(df, Record(field("event_id", "int64")), Not(col("value").less_or_equal(50)))
 
 
+@query("evolve_files", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 0 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus ELSE '' END AS o_orderstatus FROM orders")
+def evolve_files(spark, d):
+    return read(spark, evolving(spark, d), Record(field("o_orderkey", "int64"), field("o_custkey", "int64"), field("o_totalprice", "float64", nullable=True), field("o_orderstatus", "string")))
+
+
+@query("evolve_files_filter", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_totalprice > 200000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey < 10")
+def evolve_files_filter(spark, d):
+    # a file that lacks a column has no match on it
+    where = Or(col("o_totalprice").greater(200000), And(col("o_custkey").less(10), Not(col("o_totalprice").between(-1e18, 1e18)), col("kind").equal(0)), And(col("o_custkey").less(10), col("kind").equal(0)))
+    return read(spark, evolving(spark, d), Record(field("o_orderkey", "int64")), where)
+
+
+def evolving(spark: SparkSession, d: str) -> list[str]:
+    """Three files with different columns."""
+
+    def make() -> dict[str, DataFrame]:
+        df = spark.read.parquet(f"{d}/orders.parquet")
+        part = lambda i: df.filter(f"o_orderkey % 3 = {i}")
+        return {
+            "a": part(0).selectExpr("o_orderkey", "o_custkey", "0 AS kind"),
+            "b": part(1).select("o_totalprice", "o_orderkey"),
+            "c": part(2).selectExpr("o_orderstatus", "o_orderkey", "o_totalprice", "o_custkey", "2 AS kind"),
+        }
+
+    folder = written(spark, d, "evolving", make)
+    return [f"{folder}/{x}" for x in "abc"]
+
+
 @query("struct_bind", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), '') AS st, o_totalprice AS price, o_custkey % 3 = 0 AS absent FROM orders")
 def struct_bind(spark, d):
-    df = spark.read.parquet(f"{d}/orders.parquet").select(
-        "o_orderkey",
-        F.expr("named_struct('st', nullif(o_orderstatus, 'F'), 'price', o_totalprice, 'unread', o_custkey)").alias("inner"),
-        F.expr("if(o_custkey % 3 = 0, null, named_struct('c', o_custkey))").alias("maybe"),
-    )
+    path = nested(spark, d, "structs", "orders", "o_orderkey", "named_struct('st', nullif(o_orderstatus, 'F'), 'price', o_totalprice, 'unread', o_custkey) AS inner", "if(o_custkey % 3 = 0, null, named_struct('c', o_custkey)) AS maybe")
     rec = Record(field("o_orderkey", "int64"), field("inner", Struct(field("st", "string"), field("price", "float64"))), field("maybe", Struct(field("c", "int64"), nullable=True)))
-    return bind_frame(df, rec).select("o_orderkey", "inner.st", "inner.price", F.col("maybe").isNull().alias("absent"))
+    return read(spark, path, rec).select("o_orderkey", "inner.st", "inner.price", F.col("maybe").isNull().alias("absent"))
 
 
-_LINES = "collect_list(named_struct('part', l_partkey, 'flag', nullif(l_returnflag, 'N'))) AS items"
+def order_lines(spark: SparkSession, d: str) -> str:
+    """One row for each order, with its lines as a list of structs and their flags as a list with nulls."""
+    lines = "collect_list(named_struct('part', l_partkey, 'flag', nullif(l_returnflag, 'N'), 'unread', l_tax)) AS items"
+
+    def make() -> DataFrame:
+        df = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.expr(lines))
+        return df.selectExpr("l_orderkey", "items", "transform(items, x -> x.flag) AS flags")
+
+    return written(spark, d, "order_lines", make)
 
 
 @query("struct_list", "SELECT l_orderkey, l_partkey AS part, coalesce(nullif(l_returnflag, 'N'), '') AS flag FROM lineitem")
 def struct_list(spark, d):
-    df = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.expr(_LINES))
     rec = Record(field("l_orderkey", "int64"), field("items", ListOf(Struct(field("part", "int64"), field("flag", "string")))))
-    return bind_frame(df, rec).selectExpr("l_orderkey", "inline(items) AS (part, flag)")
+    return read(spark, order_lines(spark, d), rec).selectExpr("l_orderkey", "inline(items) AS (part, flag)")
 
 
 @query("list_compact", "SELECT l_orderkey, count(nullif(l_returnflag, 'N'))::INTEGER AS n FROM lineitem GROUP BY l_orderkey")
 def list_compact(spark, d):
-    df = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.expr("transform(collect_list(struct(l_returnflag)), x -> nullif(x.l_returnflag, 'N'))").alias("flags"))
-    return bind_frame(df, Record(field("l_orderkey", "int64"), field("flags", ListOf(Scalar("string"))))).select("l_orderkey", F.size("flags").alias("n"))
+    return read(spark, order_lines(spark, d), Record(field("l_orderkey", "int64"), field("flags", ListOf(Scalar("string"))))).select("l_orderkey", F.size("flags").alias("n"))
+
+
+def customer_maps(spark: SparkSession, d: str) -> str:
+    return nested(spark, d, "maps", "customer", "c_custkey", "map('nation', nullif(c_nationkey, 3), 'fixed', 1) AS m", "map(c_mktsegment, map('bal', c_acctbal)) AS mm", "map(c_mktsegment, named_struct('nation', c_nationkey, 'unread', c_name)) AS ms")
 
 
 @query("map_zero", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), 0)::INTEGER AS nation, 1 AS fixed FROM customer")
 def map_zero(spark, d):
-    df = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.expr("map('nation', nullif(c_nationkey, 3), 'fixed', 1)").alias("m"))
-    out = bind_frame(df, Record(field("c_custkey", "int64"), field("m", MapOf(Scalar("string"), Scalar("int32")))))
+    out = read(spark, customer_maps(spark, d), Record(field("c_custkey", "int64"), field("m", MapOf(Scalar("string"), Scalar("int32")))))
     return out.select("c_custkey", F.col("m")["nation"].alias("nation"), F.col("m")["fixed"].alias("fixed"))
 
 
 @query("nested_map", "SELECT c_custkey, c_acctbal AS bal FROM customer")
 def nested_map(spark, d):
-    df = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.expr("map(c_mktsegment, map('bal', c_acctbal))").alias("m"))
-    out = bind_frame(df, Record(field("c_custkey", "int64"), field("m", MapOf(Scalar("string"), MapOf(Scalar("string"), Scalar("float64"))))))
-    return out.select("c_custkey", F.explode("m").alias("k", "v")).select("c_custkey", F.col("v")["bal"].alias("bal"))
+    out = read(spark, customer_maps(spark, d), Record(field("c_custkey", "int64"), field("mm", MapOf(Scalar("string"), MapOf(Scalar("string"), Scalar("float64"))))))
+    return out.select("c_custkey", F.explode("mm").alias("k", "v")).select("c_custkey", F.col("v")["bal"].alias("bal"))
 
 
 @query("map_struct", "SELECT c_custkey, c_mktsegment AS k, c_nationkey AS nation, 0::BIGINT AS gone FROM customer")
 def map_struct(spark, d):
-    df = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.expr("map(c_mktsegment, named_struct('nation', c_nationkey))").alias("m"))
-    rec = Record(field("c_custkey", "int64"), field("m", MapOf(Scalar("string"), Struct(field("nation", "int32"), field("gone", "int64")))))
-    return bind_frame(df, rec).select("c_custkey", F.explode("m").alias("k", "v")).select("c_custkey", "k", "v.nation", "v.gone")
+    rec = Record(field("c_custkey", "int64"), field("ms", MapOf(Scalar("string"), Struct(field("nation", "int32"), field("gone", "int64")))))
+    return read(spark, customer_maps(spark, d), rec).select("c_custkey", F.explode("ms").alias("k", "v")).select("c_custkey", "k", "v.nation", "v.gone")
+
+
+def order_times(spark: SparkSession, d: str) -> str:
+    return nested(spark, d, "times", "orders", "o_orderkey", "array(o_orderdate, null) AS ts", "map('at', o_orderdate, 'never', null) AS tm", "unix_date(date(o_orderdate)) AS d")
 
 
 @query("time_list", "SELECT o_orderkey, o_orderdate AS t FROM orders")
 def time_list(spark, d):
-    df = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr("array(o_orderdate, null)").alias("ts"))
-    out = bind_frame(df, Record(field("o_orderkey", "int64"), field("ts", ListOf(Scalar("timestamp_ntz")))))
+    out = read(spark, order_times(spark, d), Record(field("o_orderkey", "int64"), field("ts", ListOf(Scalar("timestamp_ntz")))))
     return out.select("o_orderkey", F.explode("ts").alias("t"))
 
 
+@query("time_map", "SELECT o_orderkey, o_orderdate AS at, TIMESTAMP '0001-01-01 00:00:00' AS never FROM orders")
+def time_map(spark, d):
+    out = read(spark, order_times(spark, d), Record(field("o_orderkey", "int64"), field("tm", MapOf(Scalar("string"), Scalar("timestamp_ntz")))))
+    return out.select("o_orderkey", F.col("tm")["at"].alias("at"), F.col("tm")["never"].alias("never"))
+
+
 @query("date_bind", "SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE o_orderdate::DATE < DATE '1995-03-01'")
 def date_bind(spark, d):
-    df = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr("unix_date(date(o_orderdate))").alias("d"))
-    return bind_frame(df, Record(field("o_orderkey", "int64"), field("d", "date"))).filter(F.col("d") < F.lit(dt.date(1995, 3, 1)))
+    return read(spark, order_times(spark, d), Record(field("o_orderkey", "int64"), field("d", "date"))).filter(F.col("d") < F.lit(dt.date(1995, 3, 1)))
 
 
 @query("time_nanos", "SELECT event_id, epoch_us(ts) - 1800000000000000 AS us FROM events")
 def time_nanos(spark, d):
     # shifted before 1970, with a fraction below the microsecond
-    ns = F.expr("(unix_micros(cast(ts AS timestamp)) - 1800000000000000) * 1000 + event_id % 1000")
-    df = spark.read.parquet(f"{d}/events.parquet").select("event_id", ns.alias("n"))
-    return df.select("event_id", F.unix_micros(nanos_to_timestamp(F.col("n"))).alias("us"))
+    path = nested(spark, d, "nanos", "events", "event_id", "(unix_micros(cast(ts AS timestamp)) - 1800000000000000) * 1000 + event_id % 1000 AS n")
+    return read(spark, path, Record(field("event_id", "int64"), field("n", "timestamp"))).select("event_id", F.unix_micros("n").alias("us"))
 
 
 @query("decimal_unscaled", "SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem")
 def decimal_unscaled(spark, d):
-    df = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.expr("cast(round(l_extendedprice * 100) / 100 AS decimal(18,2))").alias("cents"))
-    return bind_frame(df, Record(field("l_orderkey", "int64"), field("l_linenumber", "int32"), field("cents", Scalar("int64", unscaled=True))))
+    path = nested(spark, d, "cents", "lineitem", "l_orderkey", "l_linenumber", "cast(round(l_extendedprice * 100) / 100 AS decimal(18,2)) AS cents")
+    return read(spark, path, Record(field("l_orderkey", "int64"), field("l_linenumber", "int32"), field("cents", Scalar("int64", unscaled=True))))
 
 
 @query("uint64_literal", "SELECT o_orderkey, o_custkey::DECIMAL(20,0) AS u FROM orders WHERE o_custkey > 100")
 def uint64_literal(spark, d):
-    df = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("decimal(20,0)").alias("u"))
-    return bind_frame(df, Record(field("o_orderkey", "int64"), field("u", "uint64")), col("u").greater(100))
+    path = nested(spark, d, "unsigned", "orders", "o_orderkey", "cast(o_custkey AS decimal(20,0)) AS u")
+    return read(spark, path, Record(field("o_orderkey", "int64"), field("u", "uint64")), col("u").greater(100))
 
 
 @query("ordered_rows", "SELECT l_orderkey, l_linenumber, row_number() OVER () - 1 AS row_index FROM lineitem")
@@ -229,6 +294,11 @@ def ordered_read(spark, d):
     return read(spark, f"{d}/lineitem.parquet", record("lineitem", "l_orderkey l_quantity"), col("l_quantity").greater(45), ordered=True)
 
 
+@query("ordered_files", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderkey % 3 <> 0")
+def ordered_files(spark, d):
+    return read(spark, evolving(spark, d), Record(field("o_orderkey", "int64")), col("o_totalprice").greater(200000), ordered=True)
+
+
 @query("no_projection", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_tax < 0.02")
 def no_projection(spark, d):
     return read(spark, f"{d}/lineitem.parquet", record("lineitem", "l_orderkey l_quantity"), col("l_tax").less(0.02), project=False)
@@ -252,13 +322,34 @@ def consumer_agg(spark, d):
     return df.agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"), F.round(F.avg("l_quantity"), 6).alias("mean"))
 
 
+@query("footers", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, true AS spark FROM {t}" for t in ("orders", "customer")))
+def footers(spark, d):
+    """Rows and writer's metadata from the footers of files with several row groups."""
+    found = []
+    for t in ("orders", "customer"):
+        path = written(spark, d, f"copy-{t}", lambda t=t: spark.read.parquet(f"{d}/{t}.parquet"))
+        own = [footer(spark, f) for f in spark.read.parquet(path).inputFiles()]
+        found.append((t, sum(f.rows for f in own), all("org.apache.spark.sql.parquet.row.metadata" in f.metadata and sum(f.row_groups) == f.rows for f in own)))
+    return spark.createDataFrame(found, "name string, n bigint, spark boolean")
+
+
+@query("blob_bytes", "SELECT count(*) AS n, sum(strlen(p_name))::BIGINT AS a, sum(CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE strlen(p_type) END)::BIGINT AS b, sum(strlen(p_name) + strlen(p_type))::BIGINT AS parts FROM part")
+def blob_bytes(spark, d):
+    """The bytes of several blobs and of a list of blobs."""
+    path = nested(spark, d, "blobs", "part", "cast(p_name AS binary) AS a", "if(p_partkey % 4 = 0, null, cast(p_type AS binary)) AS b", "array(cast(p_name AS binary), cast(p_type AS binary), null) AS parts")
+    df = read(spark, path, Record(field("a", "bytes"), field("b", "bytes"), field("parts", ListOf(Scalar("bytes")))))
+    each = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x))
+    return df.agg(F.count("*").alias("n"), F.sum(F.octet_length("a")).alias("a"), F.sum(F.octet_length("b")).alias("b"), F.sum(each).alias("parts"))
+
+
 @query("map_explode_agg", "SELECT count(*) AS n, sum(l_quantity) AS units FROM lineitem")
 def map_explode_agg(spark, d):
-    df = spark.read.parquet(f"{d}/lineitem.parquet").select(F.create_map(F.lit("a"), F.col("l_quantity")).alias("m"))
-    df = bind_frame(df, Record(field("m", MapOf(Scalar("string"), Scalar("float64")))))
+    path = nested(spark, d, "units", "lineitem", "map('a', l_quantity) AS m")
+    df = read(spark, path, Record(field("m", MapOf(Scalar("string"), Scalar("float64")))))
     return df.select(F.explode(F.map_values("m")).alias("u")).agg(F.count("*").alias("n"), F.sum("u").alias("units"))
 
 
-@query("early_stop", None)
+@query("early_stop", "SELECT least(100, count(*))::BIGINT AS n, true AS ok FROM orders WHERE o_custkey > 10")
 def early_stop(spark, d):
-    return read(spark, f"{d}/orders.parquet", record("orders", "o_orderkey o_custkey"), col("o_custkey").greater(10)).limit(100)
+    df = read(spark, f"{d}/orders.parquet", record("orders", "o_orderkey o_custkey"), col("o_custkey").greater(10)).limit(100)
+    return df.agg(F.count("*").alias("n"), F.min(F.col("o_custkey") > 10).alias("ok"))

@@ -33,6 +33,23 @@ def get_session(app: str = "rowsmith", master: str | None = None, **conf: str) -
     return configure(builder.getOrCreate())
 
 
+def with_knobs(spark: SparkSession, concurrency: int | None = None, batch_rows: int | None = None) -> SparkSession:
+    """A session of the same application for one read: about `concurrency` splits of a scan (None or below 1: as
+    many as Spark takes), `batch_rows` rows to a decoded batch."""
+    conf = {}
+    if concurrency is not None and concurrency > 0:
+        conf |= {"spark.sql.files.maxPartitionNum": str(concurrency), "spark.sql.files.minPartitionNum": str(concurrency)}
+    if batch_rows is not None:
+        conf["spark.sql.parquet.columnarReaderBatchSize"] = str(max(1, batch_rows))
+    if not conf:
+        return configure(spark)
+    keep = dict(spark.conf.getAll)
+    own = spark.newSession()
+    for key, value in {**{k: v for k, v in keep.items() if k.startswith("spark.sql.") and own.conf.isModifiable(k)}, **REQUIRED, **conf}.items():
+        own.conf.set(key, value)
+    return own
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a local session gets a
     folder of its own; on a cluster that is an error, since executors wouldn't see a local folder."""
