@@ -45,6 +45,7 @@ KEEP_SHARE = 0.75  # of a group's vectors, the ones that the estimate rests on
 SETTLED = 1e-3  # of the logarithm of a determinant
 MOST_STEPS = 100
 SALTS = 32
+FEW = 10_000  # groups, of under 1 kB each
 QUANTILE = 1 - 1e-9
 NO_SCATTER = 1e-10  # a variance that is rounding only
 MIN_WORDS = 50
@@ -235,18 +236,22 @@ def _estimates(rows: DataFrame) -> DataFrame:
     return sums.mapInArrow(invert, _PARAMS_SQL)
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    """Each row under SALTS keys, so that a group's rows meet it in as many tasks."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+def _meet(rows: DataFrame, few: DataFrame, key: str, groups: int) -> DataFrame:
+    """Rows (with `salt`) joined with a row for each group: broadcast if there are at most FEW groups, else under
+    SALTS keys, so that a group's rows meet it in as many tasks."""
+    if groups <= FEW:
+        return rows.join(F.broadcast(few), key, "left")
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return rows.join(few, [key, "salt"], "left")
 
 
-def _limits(judged: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _limits(judged: DataFrame, params: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
     """The vectors with their distance, and the KEEP_SHARE quantile of each group's distances."""
-    near = judged.join(_salted(params.select("g", "m", "w")), ["g", "salt"]).withColumn("d", _distance())
+    near = _meet(judged, params.select("g", "m", "w"), "g", groups).withColumn("d", _distance())
     return near, near.groupBy("g").agg(F.percentile_approx("d", KEEP_SHARE, 10_000).alias("limit"))
 
 
-def fit(judged: DataFrame) -> DataFrame:
+def fit(judged: DataFrame, groups: int) -> DataFrame:
     """g, m, w and cut (the largest distance that is kept) of each group; `judged` has g, salt, rows, x0.. ."""
     spark = judged.sparkSession
     chance = (F.xxhash64(*DIMS).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) * F.col("rows")
@@ -254,8 +259,8 @@ def fit(judged: DataFrame) -> DataFrame:
     mark = made()
     params = write_table(sample.groupBy("g").applyInArrow(_start, _PARAMS_SQL), "quality-fit")
     for _ in range(MOST_STEPS):
-        near, limit = _limits(judged, params)
-        near = near.withColumnRenamed("m", "o").join(_salted(limit), ["g", "salt"]).filter(F.col("d") <= F.col("limit"))
+        near, limit = _limits(judged, params, groups)
+        near = _meet(near.withColumnRenamed("m", "o"), limit, "g", groups).filter(F.col("d") <= F.col("limit"))
         after = write_table(_estimates(near), "quality-fit")
         fall = after.alias("a").join(params.alias("b"), "g").agg(F.max(F.col("b.det") - F.col("a.det"))).first()[0]
         params = after
@@ -265,7 +270,7 @@ def fit(judged: DataFrame) -> DataFrame:
     ks = range(P + 1)
     unit = F.element_at(F.array(*[F.lit(chi2_quantile(KEEP_SHARE, k) if k else 1.0) for k in ks]), F.col("k") + 1)
     top = F.element_at(F.array(*[F.lit(chi2_quantile(QUANTILE, k) if k else 1.0) for k in ks]), F.col("k") + 1)
-    cut = write_table(params.join(_limits(judged, params)[1], "g").select("g", "m", "w", (F.col("limit") / unit * top).alias("cut")), "quality-cut")
+    cut = write_table(params.join(_limits(judged, params, groups)[1], "g").select("g", "m", "w", (F.col("limit") / unit * top).alias("cut")), "quality-cut")
     drop_since(spark, mark, cut)
     return cut
 
@@ -290,10 +295,11 @@ def quality(docs: DataFrame) -> DataFrame:
     keys = keys.join(keys.groupBy("g").agg(F.sum("size").alias("rows")), "g").filter(F.col("rows") >= LEAST)
     keys = write_table(keys.select("own", "g", "rows"), "quality-keys")
     salt = F.pmod(F.xxhash64(*DIMS), F.lit(SALTS)).alias("salt")
-    judged = write_table(distinct.select("*", salt).join(_salted(keys), ["own", "salt"]).select("g", "rows", "salt", *DIMS), "quality-vectors")
-    found = keys.select("own", "g").join(fit(judged), "g").select("own", "m", "w", "cut")
+    groups = keys.count()
+    judged = write_table(_meet(distinct.select("*", salt), keys, "own", groups).filter("g IS NOT NULL").select("g", "rows", "salt", *DIMS), "quality-vectors")
+    found = keys.select("own", "g").join(fit(judged, groups), "g").select("own", "m", "w", "cut")
     spread = F.pmod(F.xxhash64("doc_id", *DIMS), F.lit(SALTS)).alias("salt")
-    scored = stats.select("*", spread).join(_salted(found), ["own", "salt"], "left").withColumn("d", F.when(~F.col("base_failed"), _distance()))
+    scored = _meet(stats.select("*", spread), found, "own", groups).withColumn("d", F.when(~F.col("base_failed"), _distance()))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("d").isNull() | (F.col("d") <= F.col("cut")))).alias("kept"),
