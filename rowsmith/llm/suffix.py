@@ -1,19 +1,18 @@
 """Operator 3, suffix-array dedup over bytes.
 
 A byte is removed if a string of `length` bytes that covers it also starts anywhere else, in the same document
-or another. In a block of text the suffixes are sorted (by rank doubling, to the depth `length`); for each
-suffix the previous and the next smaller position in suffix order are its nearest earlier starts, and the
-longer of the two common prefixes is its longest previous factor. A start whose factor reaches `length` is a
-copy of the earlier start that it points to. Removing only copies keeps the first; here both go.
-
-Starts without an equal string in the block are left out by hash before suffixes are sorted.
+or another. In a block of text all suffixes with `length` bytes to go are sorted to that depth (in pieces of
+PIECE suffixes, cut by their first bytes); for each, the previous and the next smaller position in suffix order
+are found, and the longer of the two common prefixes is its longest previous factor. A start whose factor
+reaches `length` is a copy of the earlier start that it points to. Removing only copies keeps the first; here
+both go.
 
 A corpus is no block, so blocks are formed of the text that matters. The smallest GRAM-byte hash in each
 window of `length` bytes is its mark; equal windows have equal marks. Consecutive windows of one mark are a
 run. In a first round (see chunks.py) buckets of marks learn each chunk's distinct runs: a run that occurs twice is
 repeated as a whole, a mark with a single distinct run settles that run as unique. What is left, one copy of each
 distinct run of a mark that has several (or that recurs within its run), is sent to the mark's bucket, and
-there the suffix array decides.
+there the suffix array of the bucket's text decides.
 A mark with too many distinct runs for a block (over HOT, or HOT_BYTES) has its windows compared by 128-bit
 hash in a round of their own, each distinct window of a chunk once. So copies and hot passages, whatever their
 share of the corpus, are compressed before anything is compared.
@@ -26,10 +25,12 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,27 +42,13 @@ LENGTH = 400
 GRAM = 64  # bytes, a power of two
 HOT = 1000
 HOT_BYTES = 2_000_000
-BLOCK = 2_000_000  # bytes of text under one suffix array
+PIECE = 32_768  # suffixes sorted at once
 SLICE = 500_000  # bytes at once when marks are computed
 TWICE, INNER = 1, 2  # of a distinct run in its chunk: it occurs again; its mark's gram recurs in it
 FULL, SEND, IS_HOT = 1, 2, 4  # of a distinct run in the corpus: it occurs again; its text is wanted; as windows
 
 
-# Suffix arrays of a block
-
-
-def ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of each position among all by the next `depth` bytes (the end sorts first); equal ranks are
-    equal strings."""
-    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(1, np.uint64)])
-    rank = np.unique(padded, return_inverse=True)[1].astype(np.uint64)
-    at = 1
-    while at < depth:
-        step = min(at, depth - at)
-        ahead = np.concatenate([rank[step:], np.zeros(step, np.uint64)])[: len(rank)]
-        rank = np.unique(rank * np.uint64(len(rank) + 1) + ahead, return_inverse=True)[1].astype(np.uint64)
-        at += step
-    return rank[:-1].astype(np.int64)
+# Suffix arrays
 
 
 def smaller(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,106 +67,80 @@ def smaller(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return previous(positions), n - 1 - previous(positions[::-1])[::-1]
 
 
-def common_prefix(data: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes i and j, up to `most`."""
-    out = np.zeros(len(i), np.int64)
-    live = np.arange(len(i))
-    n = len(data)
-    for k in range(most):
-        a, b = i[live] + k, j[live] + k
-        ok = (a < n) & (b < n)
-        ok[ok] = data[a[ok]] == data[b[ok]]
-        live = live[ok]
-        if not len(live):
-            break
-        out[live] += 1
+def suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """The first `depth` bytes of the suffixes from the given starts, a row each, filled up to whole 8 bytes."""
+    out = np.zeros((len(starts), -(-depth // 8) * 8), np.uint8)
+    out[:, :depth] = np.lib.stride_tricks.sliding_window_view(data, depth)[starts]
+    return out
+
+
+def suffix_order(rows: np.ndarray) -> np.ndarray:
+    """The order of the rows; equal ones as they stand."""
+    n, width = rows.shape
+    ends = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int64))
+    return pc.array_sort_indices(pa.Array.from_buffers(pa.large_binary(), n, [None, ends, pa.py_buffer(rows)])).to_numpy().astype(np.int64)
+
+
+def common_prefix(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of rows i and j, which are given as little-endian 64-bit words."""
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 8192):
+        x, y = words[i[at : at + 8192]], words[j[at : at + 8192]]
+        differ = x != y
+        first = differ.argmax(axis=1)
+        row = np.arange(len(x))
+        bits = x[row, first] ^ y[row, first]
+        below = np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8
+        out[at : at + 8192] = np.where(differ[row, first], 8 * first + below, 8 * x.shape[1])
     return out
 
 
-def longest_previous_factor(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """lpf and source: the longest match of each position with an earlier start, and that start (-1: none)."""
-    n = len(data)
-    order = np.argsort(ranks(data, n), kind="stable")
+def longest_previous_factor(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the given starts (ascending, each with `depth` bytes to go) the longest match with a smaller one
+    of them, up to `depth`, and that start (-1: none). The longest match with any smaller start is that with the
+    previous or the next smaller one in suffix order."""
+    rows = suffixes(data, starts, depth)
+    order = suffix_order(rows)
+    words = rows.view("<u8")
     before, after = smaller(order)
-    lpf, source = np.zeros(n, np.int64), np.full(n, -1)
+    lpf, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
     for place in (before, after):
-        has = np.flatnonzero((place >= 0) & (place < n))
-        got = common_prefix(data, order[has], order[place[has]], n)
-        better = got > lpf[order[has]]
-        lpf[order[has[better]]], source[order[has[better]]] = got[better], order[place[has[better]]]
+        has = np.flatnonzero((place >= 0) & (place < len(order)))
+        mine, theirs = order[has], order[place[has]]
+        got = np.minimum(common_prefix(words, mine, theirs), depth)
+        better = got > lpf[mine]
+        lpf[mine[better]], source[mine[better]] = got[better], starts[theirs[better]]
     return lpf, source
 
 
-def window_hashes(data: np.ndarray, length: int, factor: int) -> np.ndarray:
-    """A 64-bit hash of the `length` bytes from each position on, by doubling."""
-    out, have, power = None, 0, 1  # hash of the first `have` bytes, factor ** have
-    h, size, f = _mixed(data.astype(np.uint64) + np.uint64(factor & 0xFFFF)), 1, factor
-    while True:
-        if length & size:
-            if out is None:
-                out, have, power = h, size, f
-            else:
-                n = len(data) - have - size + 1
-                out = out[:n] * np.uint64(f) + h[have : have + n]
-                have, power = have + size, power * f % (1 << 64)
-        if 2 * size > length:
-            return _mixed(out)
-        h = h[:-size] * np.uint64(f) + h[size:]
-        size, f = 2 * size, f * f % (1 << 64)
-
-
-def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The given starts, whose strings of `length` bytes differ, in suffix order: by eight bytes at a time,
-    each time only where starts are still tied."""
-    words = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
-    key = lambda at: np.ascontiguousarray(words[np.minimum(at, len(data))]).view(">u8").ravel().astype(np.uint64)
-    out = starts.copy()
-    group = np.zeros(len(out), np.int64)
-    live, depth = np.arange(len(out)), 0
-    while len(live) and depth < length:
-        k = key(out[live] + depth)
-        order = np.lexsort((k, group[live])) if depth else np.argsort(k, kind="stable")
-        out[live], k, g = out[live][order], k[order], group[live]  # groups are contiguous, so they stay in place
-        first = chunks.new_class(g, k)
-        group[live] = live[np.flatnonzero(first)][np.cumsum(first) - 1]
-        tied = ~(first & np.r_[first[1:], True])
-        live, depth = live[tied], depth + 8
-    return out
+def pieces(data: np.ndarray, starts: np.ndarray, depth: int, at: int = 0) -> Iterator[np.ndarray]:
+    """The starts in pieces of at most PIECE, cut in suffix order between suffixes that differ within `depth`
+    bytes; only what is equal throughout makes a larger piece."""
+    if len(starts) <= PIECE or at >= depth:
+        yield starts
+        return
+    ahead = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
+    key = np.ascontiguousarray(ahead[starts + min(at, depth - 8)]).view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    starts, cut = starts[order], np.r_[np.flatnonzero(chunks.new_class(key[order])), len(order)]
+    low = 0
+    while low < len(cut) - 1:
+        high = max(low + 1, int(np.searchsorted(cut, cut[low] + PIECE, side="right")) - 1)
+        yield from pieces(data, starts[cut[low] : cut[high]], depth, at + 8)
+        low = high
 
 
 def repeats(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
-    """Of the valid starts those whose longest previous factor reaches `length`, and those they copy.
-
-    Starts whose string has a hash of its own in the block can't be among them; of the others one of each
-    class goes into the suffix array, and its equals stand beside it."""
+    """Of the valid starts those whose longest previous factor reaches `length`, and those they copy."""
     out = np.zeros(len(data), bool)
-    starts = np.flatnonzero(valid)
-    if len(starts) < 2:
-        return out
-    a = window_hashes(data, length, 0x9E3779B97F4A7C15)[starts]
-    order = np.argsort(a, kind="stable")
-    twin = a[order][1:] == a[order][:-1]
-    order = order[np.r_[False, twin] | np.r_[twin, False]]
-    if not len(order):
-        return out
-    b = window_hashes(data, length, 0xD1B54A32D192ED03)[starts]
-    order = order[np.lexsort((b[order], a[order]))]  # stable: equals by position
-    starts = starts[order]
-    first = chunks.new_class(a[order], b[order])
-    size = np.diff(np.r_[np.flatnonzero(first), len(starts)])
-    heads = starts[first]
-    in_order = suffix_order(data, heads, length)
-    place = np.empty(len(data), np.int64)
-    place[in_order] = np.arange(len(in_order))
-    klass = np.repeat(place[heads], size)
-    by = np.argsort(klass, kind="stable")
-    starts, klass = starts[by], klass[by]
-    before, after = smaller(starts)
-    for near in (before, after):
-        has = np.flatnonzero((near >= 0) & (near < len(starts)))
-        match = has[klass[has] == klass[near[has]]]  # the common prefix has `length` bytes
-        out[starts[match]] = True
-        out[starts[near[match]]] = True
+    for own in pieces(data, np.flatnonzero(valid), length):
+        if len(own) > PIECE:  # equal strings: each is a factor of the first
+            out[own] = True
+        elif len(own) > 1:
+            own = np.sort(own)
+            lpf, source = longest_previous_factor(data, own, length)
+            out[own[lpf >= length]] = True
+            out[source[lpf >= length]] = True
     return out
 
 
@@ -323,7 +284,7 @@ def _send_runs(length: int, n: int):
         for b in range(n):
             if len(own := send[place[b] : place[b + 1]]):
                 texts = [runs.text(runs.rep[e]) for e in own.tolist()]
-                blob = chunks.pack(runs.mark[own], own.astype(np.uint32), np.array([len(x) for x in texts], np.uint32), (status[own] & FULL) > 0)
+                blob = chunks.pack(own.astype(np.uint32), np.array([len(x) for x in texts], np.uint32), (status[own] & FULL) > 0)
                 rows.append(chunks.row(b, chunk, 1, packer.compress(blob + b"".join(texts))))
         whole = np.flatnonzero((status[runs.entry] & FULL) > 0)
         single = np.flatnonzero((status & FULL) == 0)
@@ -371,38 +332,26 @@ def _decide(length: int):
         if rows[0]["kind"] == 4:
             return windows(rows)
         unpacker = zstandard.ZstdDecompressor()
-        marks, chunk, entry, size, full, texts = [], [], [], [], [], []
+        chunk, entry, size, full, texts = [], [], [], [], []
         for r in rows:
             blob = unpacker.decompress(r["blob"])
-            m, e, s, w = chunks.unpack(blob, "u8", "u4", "u4", "?")
-            body = blob[4 + 17 * len(m) :]
+            e, s, w = chunks.unpack(blob, "u4", "u4", "?")
+            body = blob[4 + 9 * len(e) :]
             end = np.cumsum(s.astype(np.int64))
             texts += [body[b - k : b] for b, k in zip(end.tolist(), s.tolist(), strict=True)]
-            marks.append(m)
-            chunk.append(np.full(len(m), r["chunk"]))
+            chunk.append(np.full(len(e), r["chunk"]))
             entry.append(e)
             size.append(s)
             full.append(w)
-        marks, chunk, entry, size, full = (np.concatenate(x) for x in (marks, chunk, entry, size, full))
-        order = np.argsort(marks, kind="stable")
-        top = np.r_[np.flatnonzero(chunks.new_class(marks[order])), len(order)]
+        chunk, entry, size, full = (np.concatenate(x) for x in (chunk, entry, size, full))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        lens = size.astype(np.int64)
+        ends = np.cumsum(lens)
+        yes = repeats(data, np.arange(len(data)) + length <= np.repeat(ends, lens), length)
         found: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        held: list[int] = []
-        total = 0
-        for g in range(len(top) - 1):
-            members = order[top[g] : top[g + 1]]
-            held += members.tolist()
-            total += int(size[members].sum())
-            if total >= BLOCK or g == len(top) - 2:
-                data = np.frombuffer(b"".join([texts[i] for i in held]), np.uint8)
-                lens = size[held].astype(np.int64)
-                ends = np.cumsum(lens)
-                valid = np.arange(len(data)) + length <= np.repeat(ends, lens)
-                yes = repeats(data, valid, length)
-                for i, b, k in zip(held, ends.tolist(), lens.tolist(), strict=True):
-                    if not full[i] and (own := yes[b - k : b - length + 1]).any():
-                        found[int(chunk[i])].append((int(entry[i]), np.packbits(own).tobytes()))
-                held, total = [], 0
+        for i, b, k in zip(range(len(texts)), ends.tolist(), lens.tolist(), strict=True):
+            if not full[i] and (own := yes[b - k : b - length + 1]).any():
+                found[int(chunk[i])].append((int(entry[i]), np.packbits(own).tobytes()))
         out = []
         for c, answers in found.items():
             head = chunks.pack(np.array([e for e, _ in answers], np.uint32), np.array([len(b) for _, b in answers], np.uint32))

@@ -83,15 +83,41 @@ def test_suffix_on_repetitive_texts(spark):
 
 def test_longest_previous_factor():
     rng = random.Random(1)
-    for _ in range(20):
-        data = bytes(rng.choice(b"ab") for _ in range(60))
-        lpf, source = suffix.longest_previous_factor(np.frombuffer(data, np.uint8))
-        for i in range(60):
-            best = max((next((k for k in range(60 - i) if data[i + k] != data[j + k]), 60 - i) for j in range(i)), default=0)
+    for depth in (12, 16, 37):
+        data = bytes(rng.choice(b"ab\0") for _ in range(300))
+        starts = np.arange(300 - depth + 1)
+        lpf, source = suffix.longest_previous_factor(np.frombuffer(data, np.uint8), starts, depth)
+        for i in starts.tolist():
+            best = max((next((k for k in range(depth) if data[i + k] != data[j + k]), depth) for j in range(i)), default=0)
             assert lpf[i] == best
             assert best == 0 or data[source[i] : source[i] + best] == data[i : i + best]
 
 
+def blocks_of_text():
+    rng = random.Random(2)
+    part = [rng.randbytes(rng.randint(100, 900)) for _ in range(5)]
+    return np.frombuffer(b"".join(rng.choice(part) for _ in range(60)) + b"z" * 900, np.uint8)
+
+
+def test_suffixes_in_pieces(monkeypatch):
+    data = blocks_of_text()
+    valid = np.arange(len(data)) + 400 <= len(data)
+    count = Counter(bytes(data[i : i + 400]) for i in np.flatnonzero(valid))
+    want = [bool(valid[i]) and count[bytes(data[i : i + 400])] > 1 for i in range(len(data))]
+    assert 0 < sum(want) < valid.sum()
+    for piece in (1 << 20, 5000, 50, 1):
+        monkeypatch.setattr(suffix, "PIECE", piece)
+        assert suffix.repeats(data, valid, 400).tolist() == want
+
+
+def test_the_suffix_order_decides(monkeypatch):
+    data = blocks_of_text()
+    valid = np.arange(len(data)) + 400 <= len(data)
+    right = suffix.repeats(data, valid, 400)
+    monkeypatch.setattr(suffix, "suffix_order", lambda rows: np.random.default_rng(0).permutation(len(rows)))
+    assert suffix.repeats(data, valid, 400).sum() < 0.5 * right.sum()
+
+
 def test_covers():
     for period, cover in substring.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
