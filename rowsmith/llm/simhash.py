@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import bounds, raw, slices, write_table
+from rowsmith.llm import chunks
+from rowsmith.llm.common import bounds, drop_since, made, raw, slices, write_table
 
 GROUP = 4096  # members of a group before it is dealt anew
 BRUTE = 16  # groups up to this size are compared directly
@@ -215,7 +216,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
 def components(edges: DataFrame, label: str = "component") -> DataFrame:
     """node, root: the smallest node of each node's component; nodes without an edge aren't in it."""
     edges = write_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label)
-    state = None
+    spark, mark, state = edges.sparkSession, made() - 1, None
     while True:
         # large star: every larger neighbour of a node gets the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -226,6 +227,7 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = write_table(small.filter("a <> b").distinct(), label)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop_since(spark, mark, edges)
         if now == state:
             break
         state = now
@@ -246,14 +248,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
 
 # Near duplicates by similarity: wider fingerprints, sampled bits, verified on the shingles themselves.
 
-WIDE = 2  # 64-bit words of a fingerprint
-TABLES = 64
+WIDE = 4  # 64-bit words of a fingerprint
+TABLES = 32
 SAMPLED = 20  # bits of a table's key
 DEAL = 16, 8  # tables and bits by which a group with over GROUP members is dealt anew
 LOOSE = 1.5  # times the expected differing bits; verification decides
 ALL_PAIRS = 16  # groups up to this size give all their close pairs, larger ones the closest spanning forest
 SAMPLE_SETS = 16_000  # sets in which shingles are counted for the order of the exact join
 COMMON = 100_000  # shingles that the order knows to be frequent
+SURE = 6.8  # standard deviations beyond the expected differing bits at which a pair can't be similar
+FEW_SHINGLES = 64  # sets under this size are compared without a look at the fingerprints
 
 
 def _bit_sets(tables: int, bits: int, seed: int) -> np.ndarray:
@@ -425,21 +429,15 @@ def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np
     return shingles[first[: n - math.ceil(similarity * n - 1e-6) + 1]] if n else shingles
 
 
-def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of nodes in different components, every pair of similar sets among them; `named` has node,
-    set_id, root. Two sets of similarity t share at least t / (1 + t) of their sizes' sum, so under one order of
-    all shingles their prefixes share one; places in the prefixes bound what they can share."""
-    common = common_shingles(named, table)
-    need = similarity / (1 + similarity)
+def sure_bits(similarity: float) -> int:
+    """Differing bits over which a pair isn't similar: each bit differs with the same chance, independently, so
+    more have a chance of one in 10**11."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return math.ceil(64 * WIDE * p + SURE * math.sqrt(64 * WIDE * p * (1 - p)))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.frombuffer(x, np.uint32) for x in b.column("shingles").to_pylist()]
-            own = [prefix(x, similarity, common).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("set_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(own, pa.binary())], names=["node", "set_id", "n", "prefix"])
 
-    short = table.select("doc_id", "set_id", "shingles").mapInArrow(prefixes, "node bigint, set_id bigint, n bigint, prefix binary")
-    short = write_table(short.join(named, ["node", "set_id"]).dropDuplicates(["node", "set_id"]), "prefixes")
+def shared_shingles(short: DataFrame) -> DataFrame:
+    """k, node, place: prefix shingles that several nodes have. `short` has node and prefix."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -447,13 +445,55 @@ def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFr
             length = np.array([len(x) for x in sets], np.int64)
             row = np.repeat(np.arange(len(sets)), length)
             place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-            packed = b.column("n").to_numpy()[row] << 32 | place
             key = np.concatenate([*sets, np.zeros(0, np.uint32)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[b.column(c).take(pa.array(row)) for c in ("node", "root")], pa.array(packed)], names=["k", "node", "root", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(key << 31 | place), b.column("node").take(pa.array(row))], names=["kp", "node"])
 
-    dealt = short.select("node", "root", "n", "prefix").mapInArrow(spread, "k bigint, node bigint, root bigint, packed bigint")
-    groups = bounded_groups(dealt)
-    columns = ["k", "part", "own", "node", "root", "packed"]
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by k; those whose k no neighbour has go."""
+        held: np.ndarray | None = None  # the last row, whose successor isn't known yet
+        before = -1  # the k before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([b.column("kp").to_numpy(), b.column("node").to_numpy()], axis=1)
+            rows = rows if held is None else np.concatenate([held, rows])
+            k = rows[:, 0] >> 31
+            twin = np.r_[k[0] == before, k[1:] == k[:-1]]
+            ok = (twin | np.r_[twin[1:], False])[:-1]
+            yield packed(rows[:-1][ok])
+            held, before = rows[-1:], int(k[-2]) if len(k) > 1 else before
+        if held is not None and held[0, 0] >> 31 == before:
+            yield packed(held)
+
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0] >> 31), pa.array(rows[:, 0] & (1 << 31) - 1), pa.array(rows[:, 1].copy())], names=["k", "place", "node"])
+
+    thin = short.select("node", "prefix").mapInArrow(spread, "kp bigint, node bigint")
+    n = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return thin.repartition(n, F.shiftright("kp", 31)).sortWithinPartitions("kp").mapInArrow(several, "k bigint, place bigint, node bigint")
+
+
+def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of nodes in different components, every pair of similar sets among them; `named` has node,
+    set_id, root. Two sets of similarity t share at least t / (1 + t) of their sizes' sum, so under one order of
+    all shingles their prefixes share one; places in the prefixes bound what they can share, and fingerprints
+    that differ in too many bits rule a pair out."""
+    common = common_shingles(named, table)
+    need, most = similarity / (1 + similarity), sure_bits(similarity)
+    f = [f"f{i}" for i in range(WIDE)]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint32) for x in b.column("shingles").to_pylist()]
+            own = [prefix(x, similarity, common).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("set_id"), *[b.column(c) for c in f], pa.array([len(x) for x in sets], pa.int64()), pa.array(own, pa.binary())], names=["node", "set_id", *f, "n", "prefix"])
+
+    ones = table.join(named, (table.doc_id == named.node) & (table.set_id == named.set_id), "left_semi").dropDuplicates(["doc_id", "set_id"])
+    short = ones.select("doc_id", "set_id", *f, "shingles").mapInArrow(prefixes, "node bigint, set_id bigint, " + ", ".join(f"{c} bigint" for c in f) + ", n bigint, prefix binary")
+    short = write_table(short.join(named, ["node", "set_id"]).drop("set_id"), "prefixes")
+    shared = write_table(shared_shingles(short), "prefixes-shared")
+    groups = bounded_groups(shared.join(short.select("node", "root", "n", *f), "node"))
+    columns = ["k", "part", "own", "node", "root", "n", "place", *f]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -469,66 +509,55 @@ def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFr
             yield from compare(np.concatenate(held))
 
     def compare(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group and root; each row meets the later ones of its group with another root."""
         if not len(rows):
             return
-        cut = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-        size = np.diff(np.r_[cut, len(rows)])
-        more = np.repeat(size > 1, size)
-        rows, size = rows[more], size[size > 1]
-        if not len(rows):
-            return
-        cut = np.cumsum(size) - size
-        own, node, root, packed = rows[:, 2:].T
-        n, place = packed >> 32, packed & (1 << 32) - 1
-
-        def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            both = np.ceil(need * (n[i] + n[j]) - 1e-6)
-            can = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-            return (root[i] != root[j]) & (can >= both) & (place[i] <= n[i] - both) & (place[j] <= n[j] - both)
-
-        group = np.repeat(np.arange(len(cut)), size)
-        # a group of two blocks compares across them only
-        crossed = np.repeat(np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut), size)
-        small = np.repeat(size <= ALL_PAIRS, size)
-        found = []
-        for shift in range(1, ALL_PAIRS):
-            i = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:]))
-            i = i[~crossed[i] | (own[i] != own[i + shift])]
-            i = i[may(i, i + shift)]
-            found.append(np.stack([node[i], node[i + shift]], axis=1))
-        yield from emit(found)
-        for g in np.flatnonzero(size > ALL_PAIRS).tolist():
-            at, end = int(cut[g]), int(cut[g] + size[g])
-            if (root[at:end] == root[at]).all():
-                continue
-            for start in range(at, end, 256):
-                i, j = np.meshgrid(np.arange(start, min(start + 256, end)), np.arange(at, min(start + 256, end)), indexing="ij")
-                ok = (j < i) & (root[i] != root[j]) & (~crossed[at] | (own[i] != own[j]))
-                i, j = i[ok], j[ok]
-                ok = may(i, j)
-                yield from emit([np.stack([node[i[ok]], node[j[ok]]], axis=1)])
-
-    def emit(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        cut = np.flatnonzero(chunks.new_class(rows[:, 0], rows[:, 1]))
+        end = np.repeat(np.r_[cut[1:], len(rows)], np.diff(np.r_[cut, len(rows)]))
+        cut = np.flatnonzero(chunks.new_class(rows[:, 0], rows[:, 1], rows[:, 4]))
+        first = np.repeat(np.r_[cut[1:], len(rows)], np.diff(np.r_[cut, len(rows)]))  # of another root
+        many = np.maximum(end - first, 0)
+        at = 0
+        while at < len(rows):
+            upto = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), 500_000)) + at)
+            size = many[at:upto]
+            i = np.repeat(np.arange(at, upto), size)
+            j = np.repeat(first[at:upto] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            yield from emit(rows, i, j)
+            at = upto
+
+    def emit(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own, node, n, place = rows[:, 2], rows[:, 3], rows[:, 5], rows[:, 6]
+        ok = (own[i] != own[j]) | (own[i] < 0)  # a group of two blocks compares across them only
+        i, j = i[ok], j[ok]
+        both = np.ceil(need * (n[i] + n[j]) - 1e-6)
+        can = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        ok = (can >= both) & (place[i] <= n[i] - both) & (place[j] <= n[j] - both)
+        i, j = i[ok], j[ok]
+        differ = np.bitwise_count((rows[i, 7:] ^ rows[j, 7:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        ok = (differ <= most) | (np.minimum(n[i], n[j]) < FEW_SHINGLES)
+        pairs = np.unique(np.sort(np.stack([node[i[ok]], node[j[ok]]], axis=1), axis=1), axis=0)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     count = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.select(*columns).repartition(count, "k", "part").sortWithinPartitions("k", "part")
+    groups = groups.select(*columns).repartition(count, "k", "part").sortWithinPartitions("k", "part", "root")
     return groups.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def bounded_groups(dealt: DataFrame) -> DataFrame:
     """Rows with k, part and own: a group over GROUP members is dealt into blocks by a hash of the node, and each
-    pair of blocks is a part of about GROUP members, so every pair of members meets in one."""
+    pair of blocks is a part of about GROUP members, so every pair of members meets in one; `own` is the block,
+    -1 in a group that stays whole."""
     sizes = dealt.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP)
     large = write_table(sizes, "prefix-large")
     zero = F.lit(0).cast("bigint")
-    cold = dealt.join(large, "k", "left_anti").withColumn("part", zero).withColumn("own", zero)
+    cold = dealt.join(large, "k", "left_anti").withColumn("part", zero).withColumn("own", zero - 1)
     hot = dealt.join(large, "k").withColumn("blocks", F.ceil(F.col("size") * 2 / F.lit(GROUP)))
     hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     hot = hot.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     hot = hot.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    hot = hot.withColumn("own", F.when(F.col("own") == F.col("other"), zero - 1).otherwise(F.col("own")))
     return cold.unionByName(hot.select(cold.columns))
 
 
@@ -558,10 +587,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Equal sets are one node. First, fingerprints of 64 * WIDE bits send each node to TABLES groups by sampled
     bits; close pairs of a group are verified on the shingles, and those that pass make components. This finds
     most links but not all, and decides no pair against a link. Then a prefix-filtered join on the shingles gives
-    every pair of different components that can be similar, and these are verified too; no link is lost. Null
-    doc_ids have no row here.
+    every pair of different components that can be similar; fingerprints over `sure_bits` apart rule a pair out,
+    the others are verified on the shingles, so no link is lost. Null doc_ids have no row here.
     """
     f = [f"f{i}" for i in range(WIDE)]
+    spark, mark = docs.sparkSession, made()
     table = write_table(shingle_table(docs.filter("doc_id IS NOT NULL"), words), "shingles")
     nodes = write_table(table.groupBy(*f, "set_id").agg(F.min("doc_id").alias("node")), "shingle-nodes")
     pairs = write_table(candidates(nodes, similarity), "candidates")
@@ -571,4 +601,6 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     rest = write_table(exact_pairs(table, named, similarity), "rest")
     roots = components(near.unionByName(verified(rest, table, similarity)), "similar")
     named = nodes.join(roots, "node", "left").select(*f, "set_id", F.coalesce("root", "node").alias("component_id"))
-    return table.select("doc_id", *f, "set_id").join(named, [*f, "set_id"]).select("doc_id", "component_id")
+    out = write_table(table.select("doc_id", *f, "set_id").join(named, [*f, "set_id"]).select("doc_id", "component_id"), "similar-groups")
+    drop_since(spark, mark, out)
+    return out
