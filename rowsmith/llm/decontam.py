@@ -2,35 +2,37 @@
 
 A window is WINDOW consecutive words of a benchmark item (a shorter item is one window). For a text to hold a
 window it must hold every shingle of it, so one shingle, the rarest, is a sufficient prefix: shingles of all
-windows are ordered by the number of texts that have them (counted over the whole corpus; ties by bytes), and
-each window is filed under its first. A scan looks up each text's shingles in that file; where one is found,
-the window's place in the text follows from the shingle's place in the window, windows that would stick out at
-either end fall (positional and length bounds), and the words in between are compared exactly.
+windows are ordered by the number of texts that have them (counted over the whole corpus; ties by hash), and
+each window is filed under its first. Texts' shingles join that file; where one meets, the window's place in the
+text follows from the shingle's place in the window, windows that would stick out at either end fall (positional
+and length bounds), and the words in between are compared exactly.
 
-The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more
-passes over the texts, chained without a shuffle. Counting is a sum with partial sums on each task, and its
-result has at most a row for each shingle of the block.
+The texts are read twice, to count and to find, and don't move: a bitmap of 2**BITS bits, whatever the size of
+the benchmark, leaves out most shingles that no window has; what passes is sent with the words around it to the
+join, so the exact comparison needs no text. Windows, counts, items and hits are tables; nothing is collected
+but the bitmap. Up to FEW windows are broadcast, more are joined by a shuffle of the shingles that met.
 
 Defined cases: null or empty texts have no words; items without words have no window; equal windows of several
-items count for each; repeated rows each get a row; other columns are ignored (`clean` keeps them).
+items count for each; a null item_id counts as an empty one; repeated rows each get a row; other columns are
+ignored (`clean` keeps them).
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import bounds, mark, raw, slices, total_bytes
+from rowsmith.llm.common import raw, slices, write_table
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 16_000_000
+BITS = 25
+FEW = 100_000  # windows, or keys of texts, that are broadcast
 
 _WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD else 32 for c in range(256))
@@ -41,145 +43,183 @@ def normal(text: bytes | None) -> bytes:
     return b" ".join((text or b"").translate(TABLE).split())
 
 
-def runs(joined: bytes, k: int) -> list[bytes]:
-    """The runs of k words."""
-    starts, ends = bounds(joined)
-    return [joined[s:e] for s, e in zip(starts, ends[k - 1 :], strict=False)]
-
-
-class Block:
-    """Windows of some items, and once `order` has the counts, the file of their prefix shingles."""
-
-    def __init__(self, items: list[tuple[object, bytes | None]], window: int, shingle: int) -> None:
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in items:
-            joined = normal(text)
-            n = joined.count(b" ") + 1 if joined else 0
-            for w in runs(joined, min(n, window)) if n else []:
-                owners[w].add("" if item is None else str(item))
-        self.windows = [(w, w.count(b" ") + 1, tuple(sorted(o))) for w, o in sorted(owners.items())]
-        self.shingles: dict[int, set[bytes]] = defaultdict(set)
-        for w, n, _ in self.windows:
-            k = min(shingle, n)
-            self.shingles[k].update(runs(w, k))
-        self.shingle = shingle
-        self.file: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-
-    def order(self, texts_with: dict[bytes, int]) -> Block:
-        file: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for number, (w, n, _) in enumerate(self.windows):
-            k = min(self.shingle, n)
-            place = min(enumerate(runs(w, k)), key=lambda x: (texts_with.get(x[1], 0), x[1]))
-            file[k][place[1]].append((number, place[0]))
-        self.file = {k: dict(v) for k, v in file.items()}
-        self.shingles = {}
-        return self
-
-    def hits(self, joined: bytes) -> tuple[np.ndarray, set[str]]:
-        """Which words occurrences of windows cover, and the items of those windows."""
-        starts, ends = bounds(joined)
-        n = len(starts)
-        at: list[int] = []
-        width: list[int] = []
-        items: set[str] = set()
-        for k, table in self.file.items():
-            for p, x in enumerate([joined[s:e] for s, e in zip(starts, ends[k - 1 :], strict=False)]):
-                if x in table:
-                    for number, offset in table[x]:
-                        w, size, owners = self.windows[number]
-                        first = p - offset
-                        if first >= 0 and first + size <= n and joined[starts[first] : ends[first + size - 1]] == w:
-                            at.append(first)
-                            width.append(size)
-                            items.update(owners)
-        if not at:
-            return np.zeros(n, bool), items
-        return mark(n, np.array(at), np.array(width)), items
-
-
-def blocks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> list[Block]:
-    """The benchmark's blocks, ordered by counts over the texts of `docs`."""
-    n = max(1, -(-total_bytes(benchmark) // BLOCK_BYTES))
-    out = []
-    for i in range(n):
-        rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).select("item_id", "text").collect()
-        block = Block([(r[0], None if r[1] is None else r[1].encode()) for r in rows], window, shingle)
-        shingles = dict(block.shingles)
-
-        def count(batches: Iterator[pa.RecordBatch], shingles=shingles) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
-            for batch in batches:
-                for part in slices(batch):
-                    for text in raw(part.column("text")):
-                        joined = normal(text)
-                        for k, wanted in shingles.items():
-                            seen.update(wanted.intersection(runs(joined, k)))
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), pa.array(seen.values(), pa.int64())], names=["shingle", "n"])
-
-        counted = docs.select("text").mapInArrow(count, "shingle binary, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-        got = counted.toArrow().to_pydict() if block.windows else {"shingle": [], "n": []}
-        out.append(block.order(dict(zip(got["shingle"], got["n"], strict=True))))
-    return out
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return h ^ (h >> np.uint64(28))
+
+
+class Texts:
+    """Words of some texts in a row, with a hash of each; `n` words to a text, the first at `first`."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        joined = [normal(t) for t in texts]
+        self.data = b" ".join([j for j in joined if j])
+        self.n = np.array([j.count(b" ") + 1 if j else 0 for j in joined], np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        self.owner = np.repeat(np.arange(len(texts)), self.n)
+        if not self.data:
+            self.start = self.end = np.zeros(0, np.int64)
+            self.hash = np.zeros(0, np.uint64)
+            return
+        data = np.frombuffer(self.data, np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        self.start, self.end = np.r_[0, gaps + 1], np.r_[gaps, len(data)]
+        size = np.diff(np.r_[self.start, len(data) + 1])  # with the gap behind
+        place = np.arange(len(data) + 1) - np.repeat(self.start, size)
+        power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+        value = (data.astype(np.uint64) + np.uint64(1)) * power[place[:-1]]
+        value[gaps] = 0
+        self.hash = _mixed(np.add.reduceat(value, self.start))
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all runs of k words within a text, and their hashes."""
+        at = np.arange(len(self.hash) - k + 1) if len(self.hash) >= k else np.zeros(0, np.int64)
+        at = at[self.owner[at] == self.owner[at + k - 1]]
+        h = np.full(len(at), k, np.uint64)
+        for i in range(k):
+            h = _mixed(h * np.uint64(0xD6E8FEB86659FD93) + self.hash[at + i])
+        return at, h
+
+    def words(self, first: int, upto: int) -> str:
+        return self.data[self.start[first] : self.end[upto - 1]].decode()
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """item, w (the window's words), n (how many), grams (hashes of its shingles) of every window."""
 
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; no shuffle of texts."""
-    found = blocks(docs, benchmark, window, shingle)
-    df = docs.select("doc_id", "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    for block in found[:-1]:
-        df = _carry(df, block, kind)
-    last = found[-1]
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                before = part.column("state").to_pylist() if "state" in part.schema.names else [None] * part.num_rows
+                t = Texts(raw(part.column("text")))
                 out = []
-                for text, state in zip(raw(part.column("text")), before, strict=True):
-                    joined = normal(text)
-                    covered, items = _merge(last.hits(joined), state)
-                    names = sorted(items)
-                    n_hit = int(covered.sum())
-                    out.append((len(covered), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0))
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                for i, item in enumerate(part.column("item").to_pylist()):
+                    n = min(int(t.n[i]), window)
+                    for at in range(int(t.first[i]), int(t.first[i] + t.n[i]) - n + 1) if n else ():
+                        out.append((item, at, n))
+                grams = {k: dict(zip(*(x.tolist() for x in (at, h.view(np.int64))), strict=True)) for k in range(1, shingle + 1) for at, h in [t.shingles(k)]}
+                rows = [{"item": item, "w": t.words(at, at + n), "n": n, "grams": [grams[k][at + j] for k in [min(shingle, n)] for j in range(n - k + 1)]} for item, at, n in out]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("item", pa.string()), ("w", pa.string()), ("n", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return items.mapInArrow(run, "item string, w string, n int, grams array<bigint>")
+
+
+class Bitmap:
+    """Which hashes may be among some; each task sends one of a fixed size."""
+
+    def __init__(self, hashes: DataFrame) -> None:
+        size = BITS
 
-    return df.mapInArrow(finish, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            has = np.zeros(1 << size, bool)
+            for b in batches:
+                has[b.column("g").to_numpy().view(np.uint64) >> np.uint64(64 - size)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(has, bitorder="little").tobytes())], pa.binary())], names=["has"])
 
+        self.size, self.bits = size, np.zeros(1 << size - 3, np.uint8)
+        for r in hashes.select("g").coalesce(4).mapInArrow(run, "has binary").toLocalIterator():
+            self.bits |= np.frombuffer(zstandard.decompress(bytes(r.has)), np.uint8)
 
-def _merge(now: tuple[np.ndarray, set[str]], state: dict | None) -> tuple[np.ndarray, set[str]]:
-    covered, items = now
-    if state:
-        covered = covered | np.unpackbits(np.frombuffer(state["hit"], np.uint8), count=len(covered)).astype(bool)
-        items = items | set(state["items"])
-    return covered, items
+    def __getstate__(self) -> tuple[int, bytes]:
+        return self.size, zstandard.compress(self.bits.tobytes())
 
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.size, self.bits = state[0], np.frombuffer(zstandard.decompress(state[1]), np.uint8)
 
-def _carry(df: DataFrame, block: Block, kind: str) -> DataFrame:
-    """One more pass: adds a block's hits to the state of each text."""
-    state = pa.struct([("hit", pa.binary()), ("items", pa.list_(pa.string()))])
+    def may(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.size)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _counted(docs: DataFrame, some: Bitmap, ks: list[int]) -> DataFrame:
+    """g, texts: how many texts have a shingle, of those that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                before = part.column("state").to_pylist() if "state" in part.schema.names else [None] * part.num_rows
-                out = []
-                for text, old in zip(raw(part.column("text")), before, strict=True):
-                    covered, items = _merge(block.hits(normal(text)), old)
-                    out.append({"hit": np.packbits(covered).tobytes(), "items": sorted(items)})
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(out, state)], names=["doc_id", "text", "state"])
+                t = Texts(raw(part.column("text")))
+                for k in ks:
+                    at, h = t.shingles(k)
+                    ok = some.may(h)
+                    own, h = t.owner[at[ok]], h[ok]
+                    order = np.lexsort((h, own))
+                    own, h = own[order], h[order]
+                    first = np.ones(len(h), bool)
+                    first[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
+                    value, n = np.unique(h[first], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "texts"])
 
-    return df.mapInArrow(run, f"doc_id {kind}, text string, state struct<hit: binary, items: array<string>>")
+    return docs.select("text").mapInArrow(run, "g bigint, texts bigint").groupBy("g").agg(F.sum("texts").alias("texts"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no window."""
-    for block in blocks(docs, benchmark, window, shingle):
+_KEY = ["k1", "k2"]
+
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not block.hits(normal(t))[0].any() for t in raw(batch.column("text"))], pa.bool_()))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of 128 bits; rows that share it have the same result."""
+    return docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+
+def _found(docs: DataFrame, some: Bitmap, ks: list[int], window: int) -> DataFrame:
+    """doc_id, key, n_words and found (shingles that may be a window's prefix, with the words around) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                t = Texts(raw(part.column("text")))
+                found: list[list[dict]] = [[] for _ in range(part.num_rows)]
+                for k in ks:
+                    at, h = t.shingles(k)
+                    ok = some.may(h)
+                    for i, g in zip(at[ok].tolist(), h[ok].view(np.int64).tolist(), strict=True):
+                        own = int(t.owner[i])
+                        first, n = int(t.first[own]), int(t.n[own])
+                        lo, hi = max(first, i - window + k), min(first + n, i + window)
+                        found[own].append({"g": g, "place": i - first, "lead": i - lo, "around": t.words(lo, hi)})
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), pa.array(t.n), pa.array(found, kind)], names=["doc_id", "k1", "k2", "n_words", "found"])
+
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("place", pa.int64()), ("lead", pa.int32()), ("around", pa.string())]))
+    return _keyed(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, k1 bigint, k2 bigint, n_words bigint, found array<struct<g:bigint,place:bigint,lead:int,around:string>>")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables: doc_id, k1, k2, n_words of every row; k1, k2, first, n, w of every occurrence of a window; item, w."""
+    every = write_table(windows(benchmark, window, shingle), "decontam-windows")
+    ks = sorted({min(shingle, r[0]) for r in every.select("n").distinct().collect()})  # at most `window` values
+    grams = every.groupBy("w").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).select("w", "n", F.posexplode("grams").alias("at", "g"))
+    counted = _counted(docs, Bitmap(grams.select("g")), ks)
+    file = grams.join(counted, "g", "left").groupBy("w", "n").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "g", "at")).alias("x"))
+    file = write_table(file.select("w", "n", "x.g", "x.at"), "decontam-file")
+    found = write_table(_found(docs, Bitmap(file.select("g")), ks, window), "decontam-found")
+    near = found.filter(F.size("found") > 0).select(*_KEY, F.explode("found").alias("f")).select(*_KEY, "f.*")
+    met = near.join(F.broadcast(file) if file.count() <= FEW else file, "g").filter(F.col("lead") >= F.col("at"))
+    words = F.slice(F.split("around", " "), F.col("lead") - F.col("at") + 1, F.col("n"))
+    met = met.filter((F.size(words) == F.col("n")) & (F.array_join(words, " ") == F.col("w")))
+    met = write_table(met.select(*_KEY, (F.col("place") - F.col("at")).alias("first"), "n", "w").distinct(), "decontam-hits")
+    return found.drop("found"), met, every.select("item", "w").distinct()
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; texts aren't shuffled."""
+    rows, met, items = hits(docs, benchmark, window, shingle)
+    spans = met.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct(F.col("first"), (F.col("first") + F.col("n")).alias("upto")))).alias("spans"))
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
+    over = F.aggregate("spans", none, lambda a, s: F.struct((a["n"] + F.greatest(s["upto"] - F.greatest(a["upto"], s["first"]), F.lit(0))).alias("n"), F.greatest(a["upto"], s["upto"]).alias("upto")))
+    named = met.select(*_KEY, "w").distinct().join(items, "w").select(*_KEY, "item").distinct().groupBy(*_KEY).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    result = spans.select(*_KEY, over["n"].alias("n_hit")).join(named, _KEY)
+    out = rows.join(result, _KEY, "left")
+    names = F.array_join(F.coalesce("items", F.array().cast("array<string>")), ",")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of `docs`, all columns, whose text holds no window."""
+    bad = write_table(hits(docs, benchmark, window, shingle)[1].select(*_KEY).distinct(), "decontam-bad")
+    bad = bad.withColumnsRenamed({"k1": "bad_1_", "k2": "bad_2_"})
+    near = (F.xxhash64(docs.doc_id, docs.text) == bad.bad_1_) & (F.xxhash64(docs.text, F.lit(1), docs.doc_id) == bad.bad_2_)
+    return docs.join(F.broadcast(bad) if bad.count() <= FEW else bad, near, "left_anti")
