@@ -1,10 +1,12 @@
 """Rounds of questions between chunks of texts and buckets of keys.
 
-Texts are dealt into chunks of about CHUNK_BYTES by a hash, so no group of copies decides where its members go.
-A chunk reduces what it has to ask to distinct keys, sorts them, and sends each bucket (a range of the key
-space) one packed array; a bucket thus hears of a key once from each chunk, however often the key occurs, and
-answers each chunk with an array in the order of its question. The exchange of the texts by chunk is the same
-in every round of one plan, so Spark writes it once and reuses it.
+Texts are dealt into chunks of about CHUNK_BYTES by a hash that takes in a row's place in the scan, so neither
+copies nor repeated rows decide where their members go. A chunk reduces what it has to ask to distinct keys,
+sorts them, and sends each bucket (a range of the key space) that has any of them one packed array; a bucket thus
+hears of a key once from each chunk, however often the key occurs, and answers each chunk with an array in the
+order of its question. There are never more arrays than distinct keys of chunks, whatever the number of buckets,
+which have BUCKET_BYTES of text to them. The exchange of the texts by chunk is the same in every round of one
+plan, so Spark writes it once and reuses it.
 """
 
 from __future__ import annotations
@@ -17,19 +19,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import total_bytes
+from rowsmith.llm.common import total_bytes, write_table
 
 CHUNK_BYTES = 8_000_000
+BUCKET_BYTES = 16_000_000
 #: chunk and bucket: who asks and who answers (a negative bucket is a note of a chunk to itself); kind tells
 #: several sorts of blobs apart.
 ROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+CHUNK = "\x1fchunk"  # a name that no column of a file has
 ROW_SQL = "bucket bigint, chunk bigint, kind int, blob binary"
 
 
 def dealt(docs: DataFrame, columns: list[str], chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """The columns with `chunk_`, and the number of chunks, which is also the number of buckets."""
-    n = max(1, -(-total_bytes(docs) // (chunk_bytes or CHUNK_BYTES)))
-    return docs.select(*columns, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk_")), n
+    """The columns with `chunk_`, and the number of buckets. What comes out of an exchange is written first: only
+    in a scan does a row have the same place whenever it's read."""
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = write_table(docs, "dealt")
+    size = total_bytes(docs)
+    n = max(1, -(-size // (chunk_bytes or CHUNK_BYTES)))
+    buckets = max(1, -(-size // (chunk_bytes or BUCKET_BYTES)))
+    return docs.select(*columns, F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).alias(CHUNK)), buckets
 
 
 def row(bucket: int, chunk: int, kind: int, blob: bytes) -> dict:
@@ -42,7 +51,7 @@ def table(rows: list[dict]) -> pa.Table:
 
 def ask(texts: DataFrame, f: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
     """First round: f(chunk, texts) makes the questions."""
-    return texts.groupBy("chunk_").applyInArrow(lambda key, t: f(key[0].as_py(), t), ROW_SQL)
+    return texts.groupBy(CHUNK).applyInArrow(lambda key, t: f(key[0].as_py(), t), ROW_SQL)
 
 
 def answer(questions: DataFrame, f: Callable[[list[dict]], list[dict]]) -> DataFrame:
@@ -60,7 +69,7 @@ def hear(texts: DataFrame, answers: DataFrame, f: Callable[[int, pa.Table, list[
     def run(key, t, a):
         return f(key[0].as_py(), t, a.to_pylist())
 
-    return texts.groupBy("chunk_").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return texts.groupBy(CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def in_order(t: pa.Table) -> pa.Table:
@@ -68,10 +77,16 @@ def in_order(t: pa.Table) -> pa.Table:
     return t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
-def cuts(sorted_keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of 64-bit keys begins in the sorted keys; n + 1 places."""
-    limits = np.array([(i << 64) // n for i in range(n)], np.uint64)
-    return np.r_[np.searchsorted(sorted_keys, limits), len(sorted_keys)]
+def buckets_of(sorted_keys: np.ndarray, n: int) -> np.ndarray:
+    """Of 64-bit keys, which of n equal ranges each is in."""
+    return ((sorted_keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def parts(sorted_keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Bucket, first place and end for each bucket that has any of the keys."""
+    b = buckets_of(sorted_keys, n)
+    first = np.flatnonzero(new_class(b)) if len(b) else np.zeros(0, np.int64)
+    return list(zip(b[first].tolist(), first.tolist(), [*first[1:].tolist(), len(b)], strict=False))
 
 
 def pack(*arrays: np.ndarray) -> bytes:

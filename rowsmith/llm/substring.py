@@ -11,7 +11,8 @@ windows have an earlier owner. A bucket hears of an anchor or a window once from
 doc_id there, so a passage in a third of all documents costs each chunk one key; texts never meet each other.
 
 Defined cases: null and empty texts have no words; a null doc_id counts as smallest; rows with one doc_id count
-in an order by text; repeated rows: all but the first lose their windows; other columns are kept on request.
+one after the other, in the order of their chunks; so of repeated rows all but one lose their windows; other
+columns are kept on request, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,8 +79,7 @@ class Words:
 def _ask_anchors(width: int, n: int):
     def f(chunk: int, t: pa.Table) -> pa.Table:
         hashes, counts = np.unique(Words(chunks.in_order(t)).anchors(width)[0], return_counts=True)
-        at = chunks.cuts(hashes, n)
-        return chunks.table([chunks.row(b, chunk, 0, chunks.pack(hashes[at[b] : at[b + 1]], counts[at[b] : at[b + 1]] > 1)) for b in range(n) if at[b] < at[b + 1]])
+        return chunks.table([chunks.row(b, chunk, 0, chunks.pack(hashes[s:e], counts[s:e] > 1)) for b, s, e in chunks.parts(hashes, n)])
 
     return f
 
@@ -102,11 +102,11 @@ def _ask_windows(width: int, n: int):
         words = Words(t)
         hashes, places = words.anchors(width)
         hashes, inverse = np.unique(hashes, return_inverse=True)
-        at = chunks.cuts(hashes, n)
+        at = {b: (s, e) for b, s, e in chunks.parts(hashes, n)}
         repeated = np.zeros(len(hashes), bool)
         for r in answers:
-            b = r["bucket"]
-            repeated[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(r["blob"], np.uint8), count=int(at[b + 1] - at[b]))
+            s, e = at[r["bucket"]]
+            repeated[s:e] = np.unpackbits(np.frombuffer(r["blob"], np.uint8), count=e - s)
         total = int(words.n.sum())
         seen = np.zeros(total + 1, np.int64)
         np.add.at(seen, places[repeated[inverse]] + 1, 1)
@@ -124,9 +124,9 @@ def _ask_windows(width: int, n: int):
         first = chunks.new_class(keys[:, 0], keys[:, 1])
         note = chunks.pack(place[first].astype(np.uint32)) + chunks.pack(place[~first].astype(np.uint32))
         keys, owner = keys[first], owner[first]
-        at = chunks.cuts(keys[:, 0], n)
-        rows = [chunks.row(b, chunk, 1, chunks.pack(keys[s:e, 0], keys[s:e, 1], owner[s:e])) for b in range(n) if (s := at[b]) < (e := at[b + 1])]
-        ends = chunks.pack(at.astype(np.uint32))
+        parts = chunks.parts(keys[:, 0], n)
+        rows = [chunks.row(b, chunk, 1, chunks.pack(keys[s:e, 0], keys[s:e, 1], owner[s:e])) for b, s, e in parts]
+        ends = chunks.pack(np.array([b for b, _, _ in parts], np.int64), np.array([s for _, s, _ in parts], np.uint32))
         return chunks.table([*rows, chunks.row(-1 - chunk, chunk, 2, ends + note)])
 
     return f
@@ -150,14 +150,15 @@ def _removed(words: Words, answers: list[dict], width: int) -> np.ndarray:
     starts = []
     note = next((r["blob"] for r in answers if r["kind"] == 2), None)
     if note is not None:
-        (at,) = chunks.unpack(note, "u4")
-        rest = note[4 + at.nbytes :]
+        buckets, at = chunks.unpack(note, "i8", "u4")
+        rest = note[4 + buckets.nbytes + at.nbytes :]
         (first,) = chunks.unpack(rest, "u4")
         (again,) = chunks.unpack(rest[4 + first.nbytes :], "u4")
         starts.append(again)
+        spans = dict(zip(buckets.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(first)], strict=False), strict=True))
         for r in answers:
             if r["kind"] == 1:
-                s, e = int(at[r["bucket"]]), int(at[r["bucket"] + 1])
+                s, e = spans[r["bucket"]]
                 starts.append(first[s:e][np.unpackbits(np.frombuffer(r["blob"], np.uint8), count=e - s).astype(bool)])
     return mark(total, np.concatenate([np.zeros(0, np.int64), *starts]).astype(np.int64), width)
 
@@ -179,7 +180,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_columns: bool = False, chunk
             n_removed.append(int(lost.sum()))
             kept.append(b" ".join([w for w, x in zip(joined.split(b" "), lost.tolist(), strict=True) if not x]) if n_removed[-1] else joined)
         if keep_columns:
-            t = t.drop_columns(["chunk_"])
+            t = t.drop_columns([chunks.CHUNK])
             text = [x if not r else k.decode() for x, r, k in zip(t.column("text").to_pylist(), n_removed, kept, strict=True)]
             t = t.set_column(t.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
             if "n_chars" in t.schema.names:

@@ -244,9 +244,8 @@ class Runs:
 def _ask_runs(length: int, n: int):
     def f(chunk: int, t: pa.Table) -> pa.Table:
         runs = Runs([x or b"" for x in raw(chunks.in_order(t).column("text"))], length)
-        at = chunks.cuts(runs.mark, n)
         size = (runs.count[runs.rep] + length - 1).astype(np.uint32)
-        return chunks.table([chunks.row(b, chunk, 0, chunks.pack(runs.mark[s:e], runs.key[s:e, 0], runs.key[s:e, 1], size[s:e], runs.flags[s:e])) for b in range(n) if (s := at[b]) < (e := at[b + 1])])
+        return chunks.table([chunks.row(b, chunk, 0, chunks.pack(runs.mark[s:e], runs.key[s:e, 0], runs.key[s:e, 1], size[s:e], runs.flags[s:e])) for b, s, e in chunks.parts(runs.mark, n)])
 
     return f
 
@@ -273,19 +272,19 @@ def _settle(hot: int, rows: list[dict]) -> list[dict]:
 def _send_runs(length: int, n: int):
     def f(chunk: int, t: pa.Table, answers: list[dict]) -> pa.Table:
         runs = Runs([x or b"" for x in raw(chunks.in_order(t).column("text"))], length)
-        at = chunks.cuts(runs.mark, n)
+        at = {b: (s, e) for b, s, e in chunks.parts(runs.mark, n)}
         status = np.zeros(len(runs.rep), np.uint8)
         for r in answers:
-            status[at[r["bucket"]] : at[r["bucket"] + 1]] = np.frombuffer(r["blob"], np.uint8)
+            s, e = at[r["bucket"]]
+            status[s:e] = np.frombuffer(r["blob"], np.uint8)
         rows = []
         packer = zstandard.ZstdCompressor(level=1)
         send = np.flatnonzero((status & (SEND | IS_HOT)) == SEND)
-        place = chunks.cuts(runs.mark[send], n)
-        for b in range(n):
-            if len(own := send[place[b] : place[b + 1]]):
-                texts = [runs.text(runs.rep[e]) for e in own.tolist()]
-                blob = chunks.pack(own.astype(np.uint32), np.array([len(x) for x in texts], np.uint32), (status[own] & FULL) > 0)
-                rows.append(chunks.row(b, chunk, 1, packer.compress(blob + b"".join(texts))))
+        for b, s, e in chunks.parts(runs.mark[send], n):
+            own = send[s:e]
+            texts = [runs.text(runs.rep[x]) for x in own.tolist()]
+            blob = chunks.pack(own.astype(np.uint32), np.array([len(x) for x in texts], np.uint32), (status[own] & FULL) > 0)
+            rows.append(chunks.row(b, chunk, 1, packer.compress(blob + b"".join(texts))))
         whole = np.flatnonzero((status[runs.entry] & FULL) > 0)
         single = np.flatnonzero((status & FULL) == 0)
         single = single[(status[single] & SEND) > 0]
@@ -307,9 +306,10 @@ def _send_runs(length: int, n: int):
             first = chunks.new_class(key[:, 0], key[:, 1])
             klass = np.cumsum(first) - 1
             key, twice = key[first], np.bincount(klass) > 1
-            at = chunks.cuts(key[:, 0], n)
-            rows += [chunks.row(n + b, chunk, 4, chunks.pack(key[s:e, 0], key[s:e, 1], twice[s:e])) for b in range(n) if (s := at[b]) < (e := at[b + 1])]
-            rows.append(chunks.row(-1 - chunk, chunk, 5, chunks.pack(at.astype(np.uint32)) + chunks.pack(klass.astype(np.uint32), doc[order].astype(np.uint32), start[order].astype(np.uint32))))
+            parts = chunks.parts(key[:, 0], n)
+            rows += [chunks.row(n + b, chunk, 4, chunks.pack(key[s:e, 0], key[s:e, 1], twice[s:e])) for b, s, e in parts]
+            at = chunks.pack(np.array([n + b for b, _, _ in parts], np.int64), np.array([s for _, s, _ in parts], np.uint32), np.array([e for _, _, e in parts], np.uint32))
+            rows.append(chunks.row(-1 - chunk, chunk, 5, at + chunks.pack(klass.astype(np.uint32), doc[order].astype(np.uint32), start[order].astype(np.uint32))))
         return chunks.table(rows)
 
     return f
@@ -379,9 +379,9 @@ def _removed(texts: list[bytes], answers: list[dict], length: int) -> list[np.nd
     if 3 in notes:
         entry, doc, start, count = chunks.unpack(notes[3], "u4", "u4", "u4", "u4")
     if 5 in notes:
-        (at,) = chunks.unpack(notes[5], "u4")
-        klass, hot_doc, hot_start = chunks.unpack(notes[5][4 + at.nbytes :], "u4", "u4", "u4")
-        hot = np.zeros(int(at[-1]), bool)
+        buckets, at, end = chunks.unpack(notes[5], "i8", "u4", "u4")
+        klass, hot_doc, hot_start = chunks.unpack(notes[5][4 + 16 * len(at) :], "u4", "u4", "u4")
+        hot, spans = np.zeros(int(end[-1]), bool), dict(zip(buckets.tolist(), zip(at.tolist(), end.tolist(), strict=True), strict=True))
     for r in answers:
         if r["bucket"] >= 0 and r["kind"] == 1:
             e, size = chunks.unpack(r["blob"], "u4", "u4")
@@ -391,9 +391,8 @@ def _removed(texts: list[bytes], answers: list[dict], length: int) -> list[np.nd
                 add(np.full(len(yes), doc[i]), int(start[i]) + yes, np.full(len(yes), length))
                 body += k
         elif r["bucket"] >= 0:
-            n_buckets = len(at) - 1
-            b = r["bucket"] - n_buckets
-            hot[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(r["blob"], np.uint8), count=int(at[b + 1] - at[b]))
+            s, e = spans[r["bucket"]]
+            hot[s:e] = np.unpackbits(np.frombuffer(r["blob"], np.uint8), count=e - s)
     if 5 in notes:
         yes = hot[klass]
         add(hot_doc[yes], hot_start[yes], np.full(int(yes.sum()), length))

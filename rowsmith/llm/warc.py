@@ -6,10 +6,12 @@ if the validators agree (entity tags, compared weakly, where both have one, else
 headers are then the response's, with those of the revisit laid over except FIXED ones, which describe the
 stored body.
 
-The join is native and in two levels, so that a URL with any share of the records is never one task's work:
-time is cut into blocks of about BLOCK_ROWS records, a window over (URL, block) finds earlier responses within
-a block, and for the rest the last response of each block (a partial maximum) is carried forward by a window
-over the blocks of a URL. Only keys, times and headers are shuffled, never bodies.
+The join is native and in two levels, so that a URL with any share of the records is never one task's work. The
+records of a URL with over BLOCK_ROWS of them are cut into blocks at CUTS quantiles of its own times; an instant
+that alone fills a block is a block of its own, where nothing is earlier than anything else, so its records are
+dealt out by salt. A window over (URL, block) finds earlier responses within a block, and for the rest the last
+response of each block (a partial maximum) is carried forward by a window over the few blocks of a URL. Only
+keys, times and headers are shuffled, never bodies.
 
 Defined cases: null URLs, times or kinds: such records are neither found nor resolved (a revisit is reported as
 `no_response`); among responses at one time the largest record_id wins; repeated rows each get a row; empty
@@ -21,7 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowsmith.llm.common import write_table
+
 BLOCK_ROWS = 50_000
+CUTS = 1000
+SALTS = 32
+FEW = 500  # URLs whose cuts, of 16 kB at most, are broadcast
 #: Header fields that a not-modified answer may not change, since they describe the body.
 FIXED = ["content-encoding", "content-length", "content-md5", "content-range", "content-type", "transfer-encoding"]
 
@@ -37,29 +44,54 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(args) > 0, F.concat(F.lit("?"), F.array_join(args, "&"))).otherwise(F.lit("")))
 
 
+def blocks(r: DataFrame) -> DataFrame:
+    """The records with block and salt."""
+    usable = F.col("url_key").isNotNull() & F.col("at").isNotNull()
+    zero = F.lit(0)
+    hot = r.filter(usable).groupBy("url_key").count().filter(F.col("count") > BLOCK_ROWS).select("url_key")
+    hot = write_table(hot, "revisit-hot")
+    n = hot.count()
+    if not n:
+        return r.withColumns({"block": zero, "salt": zero})
+    few = n <= FEW
+    shares = [i / CUTS for i in range(1, CUTS)]
+    own = r.select("url_key", "at").join(F.broadcast(hot) if few else hot, "url_key", "left_semi")
+    cuts = own.groupBy("url_key").agg(F.percentile_approx("at", shares, 10 * CUTS).alias("q"))
+    dense = F.array_distinct(F.filter("q", lambda x, i: (i > 0) & (x == F.get("q", i - 1))))
+    cuts = cuts.select("url_key", dense.alias("dense"), F.array_sort(F.array_distinct(F.concat("q", F.transform(dense, lambda x: x + 1)))).alias("cuts"))
+    cuts = write_table(cuts, "revisit-cuts")
+    deal = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")
+    if few:
+        met = r.join(F.broadcast(cuts), "url_key", "left")
+    else:
+        many = cuts.withColumn("deal", F.explode(F.sequence(zero, F.lit(SALTS - 1))))
+        met = r.withColumn("deal", deal).join(many, ["url_key", "deal"], "left").drop("deal")
+    block = F.size(F.filter("cuts", lambda x: x <= F.col("at")))
+    salt = F.when(F.array_contains("dense", F.col("at")), deal)
+    return met.select(*r.columns, F.when(usable & F.col("cuts").isNotNull(), block).otherwise(0).alias("block"), F.coalesce(salt, zero).alias("salt"))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """record_id, url_key, refers_to, status and headers of every revisit."""
-    r = records.select("record_id", "at", "kind", "headers", canonical(F.col("url")).alias("url_key"))
-    n, lo, hi = r.agg(F.count("*"), F.min("at"), F.max("at")).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // max(1, n // BLOCK_ROWS) + 1)
-    full = F.struct("at", "record_id", "headers")
-    r = r.withColumns({"block": F.floor((F.col("at") - (lo or 0)) / width), "full": F.when((F.col("kind") == "response") & F.col("at").isNotNull(), full)})
+    r = blocks(records.select("record_id", "at", "kind", "headers", canonical(F.col("url")).alias("url_key")))
+    usable = F.col("url_key").isNotNull() & F.col("at").isNotNull()
+    r = r.withColumn("full", F.when((F.col("kind") == "response") & usable, F.struct("at", "record_id", "headers")))
+    # records that can't meet anything are dealt out by their id
+    r = r.withColumn("salt", F.when(usable, F.col("salt")).otherwise(F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")))
     # at one time revisits stand before responses, which aren't earlier
-    own = Window.partitionBy("url_key", "block").orderBy("at", F.col("full").isNotNull(), "record_id")
+    own = Window.partitionBy("url_key", "block", "salt").orderBy("at", F.col("full").isNotNull(), "record_id")
     within = r.withColumn("inside", F.last("full", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     revisits = within.filter(F.col("kind") == "revisit")
 
-    last = r.filter(F.col("full").isNotNull() & F.col("url_key").isNotNull()).groupBy("url_key", "block").agg(F.max_by("full", F.struct("at", "record_id")).alias("last"))
-    spans = last.select("url_key", "block", "last", F.lead("block").over(Window.partitionBy("url_key").orderBy("block")).alias("until"))
-    # a revisit's block lies after `block` and not after `until`: blocks with revisits join by their predecessor
-    wanted = revisits.filter(F.col("inside").isNull() & F.col("block").isNotNull()).select("url_key", "block").distinct()
-    marks = spans.select("url_key", "block", "last").unionByName(wanted.select("url_key", "block", F.lit(None).cast(last.schema["last"].dataType).alias("last")))
+    last = r.filter(F.col("full").isNotNull()).groupBy("url_key", "block").agg(F.max_by("full", F.struct("at", "record_id")).alias("last"))
+    # blocks in which a revisit found nothing look back too, whether or not they hold a response
+    wanted = revisits.filter(F.col("inside").isNull() & usable).select("url_key", "block").distinct()
+    marks = last.unionByName(wanted.select("url_key", "block", F.lit(None).cast(last.schema["last"].dataType).alias("last")))
     marks = marks.groupBy("url_key", "block").agg(F.first("last", ignorenulls=True).alias("last"))
     before = Window.partitionBy("url_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select("url_key", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
     found = revisits.join(carried, ["url_key", "block"], "left")
-    found = found.withColumn("full", F.coalesce("inside", F.when(F.col("url_key").isNotNull(), F.col("carried"))))
-    found = found.withColumn("full", F.when(F.col("url_key").isNotNull() & F.col("at").isNotNull(), F.col("full")))
+    found = found.withColumn("full", F.when(usable, F.coalesce("inside", "carried")))
     mine, theirs = F.col("headers"), F.col("full.headers")
     tag = lambda h: F.regexp_replace(h["etag"], "^W/", "")
     agrees = F.when(tag(mine).isNotNull() & tag(theirs).isNotNull(), tag(mine) == tag(theirs)).otherwise(

@@ -2,9 +2,11 @@ import math
 import os
 import random
 import sys
+import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path[:0] = [os.path.dirname(__file__), os.path.dirname(os.path.dirname(__file__))]
@@ -41,13 +43,25 @@ def test_decontam(spark, rows):
     assert got(spark, "op4_decontamination") == want
 
 
-def test_decontam_in_blocks(spark, rows, monkeypatch):
+def test_decontam_beyond_a_broadcast(spark, rows, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {tuple(r) for r in decontam.scan(docs, bench).collect()}
     clean = {r[0] for r in decontam.clean(docs, bench).select("doc_id").collect()}
     assert clean == {r[0] for r in want if not r[5]}
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(decontam, "FEW", 0)
+    monkeypatch.setattr(decontam, "BITS", 12)  # and with a bitmap that lets nearly all pass
     assert {tuple(r) for r in decontam.scan(docs, bench).collect()} == want
+    assert {r[0] for r in decontam.clean(docs, bench).select("doc_id").collect()} == clean
+
+
+def test_decontam_of_repetitive_texts(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice(["a", "B", "é", "\U0001f600x", "10"]) for _ in range(n))
+    items = [(i, some(rng.choice([0, 1, 2, 3, 9, 10, 11, 14]))) for i in range(40)] + [(40, None), (41, "...")]
+    rows = [(i, some(rng.randint(0, 60)).replace(" ", rng.choice([" ", "-", " . "]))) for i in range(80)] + [(80, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in decontam.scan(docs, bench).collect()} == brute.decontam(rows, items)
 
 
 def test_tokens(spark, rows):
@@ -255,14 +269,20 @@ def test_segments(bits, n, top):
         assert (tokenfile.read_segment(data, only=1) == ids[300:600]).all()
 
 
-def test_encoder_is_the_library():
-    e = tokenfile.encoder("word_bpe_49k.json")
+@pytest.mark.parametrize(("name", "apart"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_is_the_library(name, apart, monkeypatch):
+    e = tokenfile.Encoder(name)
+    assert e.apart == apart
     rng = random.Random(1)
-    parts = [*"aAbBzZ'sStT,.!?;:*$%&#|<>|/-_0129 éÉßΣσİẖḦ̱日٣² \n\t\r\x0b\x1c\x85\xa0　", "<|endoftext|>", "<|ENDOFTEXT|>", "the", "'ll"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + [""]
-    ids, n = e.encode(texts, 2)
-    for part, want in zip(np.split(ids, np.cumsum(n)[:-1]), e.library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert part.tolist() == [*want.ids, 2]
+    parts = [*"aAbBzZ'sStT,.!?;:*$%&#|<>|/-_0129 éÉßΣσİẖḦ̱×÷日٣² \n\t\r\x0b\x0c\x1c\x85\xa0　", "<|endoftext|>", "<|ENDOFTEXT|>", "the", "'ll", "Straße,", "zoë."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["", None, "  ", "\n", " a"]
+    for cache in (tokenfile.CACHE, 50):
+        monkeypatch.setattr(tokenfile, "CACHE", cache)
+        ids, n = e.encode(pa.array(texts), 2)
+        for t, part, want in zip(texts, np.split(ids, np.cumsum(n)[:-1]), e.library.encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True):
+            assert part.tolist() == [*want.ids, 2], t
+        ids, n = e.encode(pa.array(texts).slice(7, 20), 2)
+        assert (np.split(ids, np.cumsum(n)[:-1])[3].tolist()[:-1]) == e.library.encode(texts[10], add_special_tokens=False).ids
 
 
 def test_sampling():
@@ -297,13 +317,42 @@ def test_round_trip(spark, odd):
     assert back.filter("text <> t").count() == 0 and back.count() > 20
 
 
-def test_licences_match_themselves(spark):
-    docs = spark.createDataFrame([(i, f"x\n{t}\ny z") for i, (_, t) in enumerate(licences.TEMPLATES)], "doc_id bigint, text string")
+def wrapped(text, mark, width=72):
+    return "\n".join(f"{mark} {x}".rstrip() for x in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("form", ["line", "sentence", "header", "paragraphs", "start", "end"])
+def test_licences_are_found_in_texts(spark, form):
+    code = "import os\n\ndef f(x):\n    return x + 1\n" * 40
+
+    def put(t):
+        return {
+            "line": f"x\n{t}\ny z", "sentence": f"We say that {t} And so it is, or nearly so.", "header": f"#!/bin/sh\n#\n{wrapped(t, '#')}\n#\n{code}",
+            "paragraphs": f"{code}\n/*\n{wrapped(t.replace('. ', '.' + chr(10)), ' *')}\n */\n{code}", "start": wrapped(t, "//") + "\n" + code, "end": code + wrapped(t, ""),
+        }[form]
+
+    docs = spark.createDataFrame([(i, put(t)) for i, (_, t) in enumerate(licences.TEMPLATES)], "doc_id bigint, text string")
     for r in licences.scan(docs).collect():
         assert r.license_id == licences.TEMPLATES[r.doc_id][0] and r.dice == 1.0
 
 
-def test_revisits(spark):
+def test_licences_with_changes(spark, monkeypatch):
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 500)
+    rng = random.Random(3)
+    changed = " ".join("changed" if rng.random() < 0.05 else w for w in mit.split())
+    cut = " ".join(mit.split()[:60])
+    docs = spark.createDataFrame([(1, changed), (2, cut), (3, "software license copyright notice " * 50), (4, f"Copyright (c) 2020 A B\n\n{mit} {mit}")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.license_id, r.n_licenses) for r in licences.scan(docs).collect()}
+    assert got == {1: ("MIT", 1), 2: (None, 0), 3: (None, 0), 4: ("MIT", 1)}
+    want = [tuple(r) for r in licences.scan(docs).orderBy("doc_id").collect()]
+    monkeypatch.setattr(licences, "BATCH_WORDS", 100)
+    assert [tuple(r) for r in licences.scan(docs).orderBy("doc_id").collect()] == want
+    own = licences.table_templates(spark.createDataFrame([("own", "You may read this text but not write it."), (None, "x y")], "id string, text string"))
+    docs = spark.createDataFrame([(1, "a b\n# You may read this\n# text but not write it. c")], "doc_id bigint, text string")
+    assert licences.scan(docs, own).first().license_id == "own"
+
+
+def test_revisits(spark, monkeypatch):
     h = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
     rows = [
         (1, "http://www.a.org/x/", 10, "response", h(etag='W/"1"', content_length="9", date="d1")),
@@ -315,13 +364,51 @@ def test_revisits(spark):
         (7, None, 22, "revisit", None),
     ]
     records = spark.createDataFrame(rows, "record_id bigint, url string, at bigint, kind string, headers map<string,string>")
-    for block in (50_000, 1):
-        warc.BLOCK_ROWS = block
+    for block, few in ((50_000, 500), (1, 500), (1, 0)):
+        monkeypatch.setattr(warc, "BLOCK_ROWS", block)
+        monkeypatch.setattr(warc, "FEW", few)
         out = {r.record_id: r for r in warc.resolve(records).collect()}
         assert {k: (r.refers_to, r.status) for k, r in out.items()} == {3: (1, "resolved"), 4: (None, "validator_mismatch"), 5: (2, "resolved"), 6: (None, "no_response"), 7: (None, "no_response")}
         assert out[3].headers == h(etag='"1"', content_length="9", date="d3")
         assert out[5].headers == h(etag='"2"', content_length="8", last_modified="m", vary="v")
-    warc.BLOCK_ROWS = 50_000
+
+
+def latest(records):
+    """What each revisit refers to, and its status, by the plain rule."""
+    out = []
+    for i, url, at, kind, h in records:
+        if kind != "revisit":
+            continue
+        earlier = [(t, j, g or {}) for j, u, t, k, g in records if k == "response" and u == url and url is not None and at is not None and t is not None and t < at]
+        _, j, g = max(earlier, key=lambda x: x[:2], default=(0, None, {}))
+        mine = h or {}
+        if "etag" in mine and "etag" in g:
+            same = mine["etag"].removeprefix("W/") == g["etag"].removeprefix("W/")
+        else:
+            same = "last-modified" in mine and mine["last-modified"] == g.get("last-modified")
+        out.append((i, j if j is not None and same else None, "no_response" if j is None else "resolved" if same else "validator_mismatch"))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [50_000, 20, 1])
+def test_revisits_of_hot_urls_and_odd_rows(spark, monkeypatch, block):
+    """A URL with most records, an instant with a third of them, one record long before all others, ties, nulls,
+    repeated rows and columns whose names clash."""
+    rng = random.Random(block)
+    head = lambda: rng.choice([None, {}, {"etag": rng.choice(['"a"', 'W/"a"', '"b"'])}, {"last-modified": rng.choice("mn")}])
+    rows = [(i, rng.choice(["u", "u", "u", "v", "w", None]), rng.choice([500, rng.randint(400, 600), None]) if i % 3 else 500, rng.choice(["response", "revisit", "revisit", None]), head()) for i in range(400)]
+    rows += [(1000, "u", -(10**12), "response", {"etag": '"a"'}), rows[5], rows[6]]
+    schema = "record_id bigint, url string, at bigint, kind string, headers map<string,string>"
+    records = spark.createDataFrame(rows, schema)
+    for c in ("block", "salt", "full", "cuts", "url_key", "last", "inside"):
+        records = records.withColumn(c, F.lit("x"))
+    monkeypatch.setattr(warc, "BLOCK_ROWS", block)
+    monkeypatch.setattr(warc, "CUTS", 20)
+    for few in (500, 0):
+        monkeypatch.setattr(warc, "FEW", few)
+        got = sorted(((r.record_id, r.refers_to, r.status) for r in warc.resolve(records).collect()), key=repr)
+        assert got == latest(rows)
+    assert warc.resolve(records.filter("false")).count() == 0
 
 
 def runs(odd, bench):
@@ -339,7 +426,21 @@ def test_odd_rows(spark, odd, none, name):
     assert run(none).count() == 0
 
 
-def test_chunks_cover_all_keys():
-    keys = np.sort(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * 2)
-    at = chunks.cuts(keys, 7)
-    assert at[0] == 0 and at[-1] == 1000 and (np.diff(at) > 0).all()
+def test_parts_cover_all_keys():
+    keys = np.sort(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64))
+    for n in (1, 7, 5000, 1 << 31):
+        parts = chunks.parts(keys, n)
+        assert [s for _, s, _ in parts] == [0, *[e for _, _, e in parts[:-1]]] and parts[-1][2] == 1000
+        assert all(0 <= b < n for b, _, _ in parts) and len({b for b, _, _ in parts}) == len(parts)
+    assert chunks.parts(keys[:0], 7) == []
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, text)] * 60 + [(2, "other")], "doc_id bigint, text string")
+    dealt, _ = chunks.dealt(docs, ["doc_id"], 10_000)
+    assert dealt.filter("doc_id = 1").select(chunks.CHUNK).distinct().count() > 4
+    got = Counter((r.doc_id, r.n_removed) for r in substring.dedup(docs, chunk_bytes=10_000).collect())
+    assert got == {(1, 0): 1, (1, 300): 59, (2, 0): 1}
+    got = Counter((r.doc_id, r.n_removed) for r in suffix.dedup(docs.repartition(5), chunk_bytes=10_000).collect())
+    assert got == {(1, len(text)): 60, (2, 0): 1}
