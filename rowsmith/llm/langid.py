@@ -1,11 +1,12 @@
 """Operator 2, language ID: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased, what isn't a letter counts as a space, and runs of 1 to 3 characters are hashed into
-BUCKETS. Training counts n-grams of labelled rows, a bounded sample of them if there are more than
+2**BITS buckets. Training counts n-grams of labelled rows, a bounded sample of them if there are more than
 TRAIN_ROWS (chosen by a hash of the text, so each row is as likely); counting is a sum with partial sums on
-each task. The log-probability matrix has languages x BUCKETS cells, whatever the size of the corpus, and goes
-to the executors with the function; more than MAX_LANGS labels raise an error. Scoring is one pass without a
-shuffle: n-grams of a batch index the matrix, and rows are sums over each text's run.
+each task, of the cells that occur. The log-probability matrix has labels x buckets cells, whatever the size of
+the corpus, and goes to the executors with the function; with more labels than CELLS allows there are half, a
+quarter ... as many buckets, and beyond 65,536 labels, which can't be languages, an error. Scoring is one pass
+without a shuffle: n-grams of a batch index the matrix, and rows are sums over each text's run.
 
 Defined cases: a text that is null or has no letter gets `und` and score 0; ties go to the first label in
 order; with no labelled row every text gets `und`; repeated rows each get a row; other columns are ignored.
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm.common import slices
 
-BUCKETS = 1 << 16
+BITS = 16
+CELLS = 1 << 24  # of the matrix, 8 bytes each
+MAX_LABELS = 1 << 16
 TRAIN_ROWS = 60_000
-MAX_LANGS = 1000
 ALPHA = 0.05
 UNKNOWN = "und"
 CHARS = 400_000  # at once
@@ -45,14 +47,18 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return letters()[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)], at
 
 
-def grams(chars: np.ndarray) -> list[np.ndarray]:
+def bits_for(labels: int) -> int:
+    return min(BITS, max(8, (CELLS // max(1, labels)).bit_length() - 1))
+
+
+def grams(chars: np.ndarray, bits: int) -> list[np.ndarray]:
     """Buckets of the 1-, 2- and 3-grams that start at each place; the last places have fewer."""
     c = chars.astype(np.uint64)
     out, h = [], np.zeros(len(c), np.uint64)
     for n in range(3):
         h = (h[: len(c) - n] + c[n:] + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        out.append((h >> np.uint64(48)).astype(np.intp))
+        out.append((h >> np.uint64(64 - bits)).astype(np.intp))
     return out
 
 
@@ -60,37 +66,42 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return slices(batch, limit=CHARS)
 
 
+def _batches(df: DataFrame) -> list[pa.RecordBatch]:
+    return df.toArrow().to_batches()
+
+
 def train(labelled: DataFrame, sample: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Labels in order and the matrix: log P(bucket | label), with log P(label) as a last column."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} labels")
+    """Labels in order and the matrix: log P(bucket | label), with log P(label) as a last column. At most CELLS
+    counts, if labels are as many as that, come to the driver."""
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MAX_LABELS + 1).collect()}
+    if len(sizes) > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} labels")
     rows = sum(sizes.values())
     if rows > sample:
         share = F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
         labelled = labelled.filter(share < sample / rows)
     names = sorted(sizes)
     place = {x: i for i, x in enumerate(names)}
+    bits = bits_for(len(names))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
             for part in _parts(batch):
                 chars, at = code_points(part.column("text").to_pylist())
                 label = np.repeat([place[x] for x in part.column("lang").to_pylist()], np.diff(at))
                 same = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                for n, g in enumerate(grams(chars)):
-                    g, inside = g[: len(chars) - n], same[: len(chars) - n] == same[n:]
-                    total += np.bincount((label[: len(g)] * BUCKETS + g)[inside], minlength=total.size).reshape(total.shape)
-        label, bucket = np.nonzero(total)
-        if len(label):
-            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(bucket), pa.array(total[label, bucket])], names=["label", "bucket", "n"])
-
-    counted = labelled.select("text", "lang").mapInArrow(count, "label bigint, bucket bigint, n bigint")
-    got = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((len(names), BUCKETS))
-    total[got.column("label").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    matrix = np.log((total + ALPHA) / (total.sum(1, keepdims=True) + ALPHA * BUCKETS)) if names else total
+                cells = []
+                for n, g in enumerate(grams(chars, bits)):
+                    inside = same[: len(chars) - n] == same[n:]
+                    cells.append((label[: len(g)] << bits | g)[inside])
+                cell, n = np.unique(np.concatenate(cells), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+    counted = labelled.select("text", "lang").mapInArrow(count, "cell bigint, n bigint")
+    total = np.zeros((len(names), 1 << bits))
+    for got in _batches(counted.groupBy("cell").agg(F.sum("n").alias("n"))):
+        total.ravel()[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    matrix = np.log((total + ALPHA) / (total.sum(1, keepdims=True) + ALPHA * (1 << bits))) if names else total
     prior = np.log(np.array([sizes[x] for x in names], float) / max(1, rows))
     return names, np.hstack([matrix, prior[:, None]])
 
@@ -102,7 +113,7 @@ def score(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tupl
     if not names:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
     logs = np.empty((len(names), len(texts)))
-    padded = [np.concatenate([g, np.full(len(chars) - len(g), -1, np.intp)]) for g in grams(chars)]
+    padded = [np.concatenate([g, np.full(len(chars) - len(g), -1, np.intp)]) for g in grams(chars, (matrix.shape[1] - 1).bit_length() - 1)]
     for n in (1, 2):  # runs over a text's end don't count
         for k in range(1, n + 1):
             padded[n][at[1:] - k] = -1

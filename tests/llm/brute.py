@@ -139,3 +139,29 @@ def outliers(x, cutoff, unit, share=0.75, starts=300):
             best = (det, d)
     d = best[1]
     return (d / np.sort(d)[h - 1] * unit > cutoff)[back.ravel()]
+
+
+def naive_bayes(learn, texts, alpha, bits):
+    """Label and probability of each text; learn has (label, text)."""
+
+    def grams(text):
+        c = [ord(x) if x.isalpha() else 32 for x in f" {(text or '').lower()} "]
+        for i in range(len(c)):
+            h = 0
+            for n in range(3):
+                if i + n < len(c):
+                    h = (h + c[i + n] + n + 1) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                    yield h >> 64 - bits
+
+    names = sorted({x for x, _ in learn})
+    count = {x: collections.Counter(g for y, t in learn if y == x for g in grams(t)) for x in names}
+    out = []
+    for t in texts:
+        if not any(x.isalpha() for x in (t or "").lower()):
+            out.append(("und", 0.0))
+            continue
+        logs = {x: math.log(sum(y == x for y, _ in learn) / len(learn)) + sum(math.log((count[x][g] + alpha) / (count[x].total() + alpha * 2**bits)) for g in grams(t)) for x in names}
+        best = max(names, key=lambda x: logs[x])
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
