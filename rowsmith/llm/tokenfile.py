@@ -8,9 +8,7 @@ by the index. Spark's Parquet writer stores the segments, so tasks may be retrie
 serves; with each segment stand the doc_ids and lengths of its documents, which never straddle segments.
 
 Rows are put in order by a range partitioning of the texts; a first position follows from sums in two levels
-(over the partitions, then within each). Encoding is by white-space pieces: pieces are encoded once by the
-library and kept in a table of at most CACHE pieces, which is exact as neither the normaliser nor the
-pre-tokeniser of the vocabulary works across white space.
+(over the partitions, then within each). Encoding is by white-space pieces where that is exact (see Encoder).
 
 Defined cases: a null or empty text has only the end id; null doc_ids come first; repeated rows each get
 a row, in order of a hash of the text; other columns are ignored.
@@ -18,6 +16,7 @@ a row, in order of a hash of the text; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -27,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,7 +36,8 @@ from rowsmith.llm.common import gathered, slices, write_table
 
 CHUNK = 1 << 16  # ids
 SEGMENT = 1 << 19  # ids after which a segment ends, at a document's end
-CACHE = 300_000  # pieces
+CACHE = 300_000  # stems
+SLICE = 4_000_000  # bytes of text at once
 MAGIC = b"BITPLANE"
 HEAD = struct.Struct("<8sIIIHBB")  # magic, ids, ids to a chunk, chunks, planes, 1 for bits, bytes of an id
 END = 2
@@ -94,22 +95,33 @@ def read_segment(data: bytes, only: int | None = None) -> np.ndarray:
 #: Marks that may stand behind a word: they are neither letters nor digits and combine with nothing, so the
 #: pre-tokeniser cuts before them, and a run of them is a word of its own.
 TAIL = ",.!?;:*$%&#|"
-
-
-def stem(piece: str) -> tuple[str, str]:
-    """A piece as a word and the marks behind it; an ASCII word in lower case, as the normaliser has it. What
-    might hold a special token stays whole."""
-    if "<|" in piece:
-        return piece, ""
-    word = piece.rstrip(TAIL)
-    tail = piece[len(word) :]
-    if tail and word and not word[-1].lower().isalpha():  # a dotted capital I has a mark of its own when lower
-        return piece, ""
-    return (word.lower() if word.isascii() else word), tail
+#: What a normaliser and pre-tokeniser must be for pieces between spaces to be encoded on their own: neither
+#: works across white space, and a word's last id ends with the suffix.
+PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SUFFIX = "</w>"
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+WORDS_AT_ONCE = 200
+
+
+def by_pieces(library) -> bool:
+    """Whether the tokenizer is of the kind that `Encoder` may use by pieces."""
+    spec = json.loads(library.to_str())
+    normal, parts = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    kinds = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in parts.get("pretokenizers", [])]
+    return (
+        kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+        and normal["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
+        and parts["pretokenizers"][0]["pattern"] == {"Regex": PARTS}
+        and not parts["pretokenizers"][1]["add_prefix_space"]
+        and spec["model"].get("end_of_word_suffix") == SUFFIX
+        and all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] for x in spec["added_tokens"])
+    )
 
 
 class Encoder:
-    """Ids of texts, by pieces between spaces and line ends."""
+    """Ids of texts. With a tokenizer of the kind that `by_pieces` knows, a text's pieces between white space are
+    cut into a stem and the marks behind it; each distinct one is encoded by the library once and kept in a table
+    of CACHE of them, which starts anew when full. Any other tokenizer gets whole texts."""
 
     def __init__(self, name: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,51 +129,96 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
+        self.apart = by_pieces(self.library)
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for x, i in vocabulary.items() if x.endswith(SUFFIX)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {"": 0}
-        self.known: dict[str, list[int]] = {"": []}  # ids of words
-        self.start, self.size, self.flat, self.used = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64), np.zeros(1 << 20, np.uint32), 0
+        self.start, self.size, self.flat, self.used = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64), np.zeros(1 << 18, np.uint32), 0
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.number) + len(pieces) > CACHE:
-            self.clear()
-        stems = [stem(p) for p in pieces]
-        new = list({x for s in stems for x in s} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": []}
-            new = list({x for s in stems for x in s} - self.known.keys())
-        self.known.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        ids = [self.known[word] + self.known[tail] if tail else self.known[word] for word, tail in stems]
+    def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and all ids in a row."""
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        k, n = len(self.number), len(self.number) + len(pieces)
-        while n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[k:n], self.size[k:n] = self.used + np.cumsum(size) - size, size
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.number.update(zip(pieces, range(k, n), strict=True))
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters only, many to a call: each ends with its only id that ends a word."""
+        groups = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        size, flat = self.raw([" ".join(g) for g in groups])
+        if len(groups) and (np.add.reduceat(self.last[flat].astype(np.int64), np.cumsum(size) - size) != list(map(len, groups))).any():
+            return self.raw(words)
+        return np.diff(np.flatnonzero(self.last[flat]) + 1, prepend=0), flat
+
+    def numbers(self, stems: pa.Array) -> np.ndarray:
+        """Places of distinct stems in the table."""
+        if len(self.number) + len(stems) > CACHE:
+            self.clear()
+        plain = pc.match_substring_regex(stems, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        known = stems.to_pylist()
+        new = [i for i, x in enumerate(known) if x not in self.number]
+        sure = [i for i in new if plain[i]]
+        rest = [i for i in new if not plain[i]]
+        if new:
+            size, flat = map(np.concatenate, zip(self.words([known[i] for i in sure]), self.raw([known[i] for i in rest]), strict=True))
+            k, n = len(self.number), len(self.number) + len(new)
+            while n > len(self.start):
+                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            while self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.start[k:n], self.size[k:n] = self.used + np.cumsum(size) - size, size
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.number.update(zip([known[i] for i in sure + rest], range(k, n), strict=True))
+        return np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's number of them, with the end id."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        pieces = [p for s in split for p in s]
-        missing = list(set(pieces) - self.number.keys())
-        if missing:
-            if len(self.number) + len(missing) > CACHE:
-                self.clear()
-                missing = list(set(pieces) - self.number.keys())
-            self.learn(missing)
-        k = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[k]
-        per_text = np.add.reduceat(size, np.cumsum([0, *map(len, split)])[:-1])
-        at = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.start[k] - at, size) + np.arange(int(size.sum()))]
-        return np.insert(ids, np.cumsum(per_text), end), per_text + 1
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.apart:
+            size, flat = self.raw(texts.to_pylist())
+            return np.insert(flat, np.cumsum(size), end), size + 1
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary
+        stem, tail = stems(pieces)
+        both = pa.concat_arrays([stem, tail]).dictionary_encode()
+        number = self.numbers(both.dictionary)[both.indices.to_numpy()]
+        # the ids of each distinct piece, its stem's and its tail's, and last the end id
+        part = np.stack([number[: len(pieces)], number[len(pieces) :]], axis=1).ravel()
+        of_piece = np.append(self.size[part].reshape(-1, 2).sum(axis=1), 1)
+        flat = np.append(_runs(self.flat, self.start[part], self.size[part]), np.uint32(end))
+        # pieces in the order of the texts, with an end behind each text
+        offsets = split.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        order = np.insert(coded.indices.to_numpy(), offsets[1:], len(pieces))
+        size = of_piece[order]
+        per_text = np.add.reduceat(size, offsets[:-1] + np.arange(len(texts)))
+        return _runs(flat, (np.cumsum(of_piece) - of_piece)[order], size), per_text
+
+
+def _runs(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The given runs of an array, one after the other."""
+    upto = np.cumsum(size)
+    return flat[np.repeat(start - upto + size, size) + np.arange(int(upto[-1]) if len(size) else 0)]
+
+
+def stems(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each piece as a word and the marks behind it; an ASCII word in lower case, as the normaliser has it. What
+    might hold a special token, or a word that ends with anything but a plain letter, stays whole."""
+    word = pc.utf8_rtrim(pieces, characters=TAIL)
+    apart = pc.or_(pc.match_substring_regex(word, f"[{LETTERS}]$"), pc.equal(word, ""))
+    special = pc.match_substring(pieces, "<|")
+    word = pc.if_else(pc.and_(apart, pc.invert(special)), word, pieces)
+    ends = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)[1:]
+    size = (pc.binary_length(pieces).to_numpy() - pc.binary_length(word).to_numpy()).astype(np.int64)
+    tails = _runs(np.frombuffer(pieces.buffers()[2] or b"", np.uint8), ends - size, size)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    tail = pa.Array.from_buffers(pa.large_string(), len(pieces), [None, pa.py_buffer(offsets), pa.py_buffer(tails)])
+    return pc.if_else(pc.and_(pc.string_is_ascii(word), pc.invert(special)), pc.ascii_lower(word), word), tail
 
 
 @cache
@@ -184,10 +241,10 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END
                 [{"shard": shard, "segment": number, "n_tokens": total, "doc_ids": names, "sizes": sizes, "payload": write_segment(np.concatenate(held), bits=bits)}], schema=kind
             )
 
-        for batch in gathered(batches):
+        for batch in gathered(batches, SLICE):
             kind = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
-            for part in slices(batch):
-                ids, per_text = library.encode(part.column("text").to_pylist(), end)
+            for part in slices(batch, limit=SLICE):
+                ids, per_text = library.encode(part.column("text"), end)
                 held.append(ids)
                 names += part.column("doc_id").to_pylist()
                 sizes += per_text.tolist()
