@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import total_bytes, write_table
+from rowsmith.llm.common import total_bytes, trim, write_table
 
 CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
@@ -51,14 +51,24 @@ def table(rows: list[dict]) -> pa.Table:
 
 def ask(texts: DataFrame, f: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
     """First round: f(chunk, texts) makes the questions."""
-    return texts.groupBy(CHUNK).applyInArrow(lambda key, t: f(key[0].as_py(), t), ROW_SQL)
+
+    def run(key, t):
+        out = f(key[0].as_py(), t)
+        trim()
+        return out
+
+    return texts.groupBy(CHUNK).applyInArrow(run, ROW_SQL)
 
 
 def answer(questions: DataFrame, f: Callable[[list[dict]], list[dict]]) -> DataFrame:
     """f(all rows of a bucket) makes the answers; notes pass unchanged."""
 
     def run(key, t):  # Spark tells the arguments by their number
-        return t if key[0].as_py() < 0 else table(f(t.to_pylist()))
+        if key[0].as_py() < 0:
+            return t
+        out = table(f(t.to_pylist()))
+        trim()
+        return out
 
     return questions.groupBy("bucket").applyInArrow(run, ROW_SQL)
 
@@ -67,7 +77,9 @@ def hear(texts: DataFrame, answers: DataFrame, f: Callable[[int, pa.Table, list[
     """f(chunk, texts, answers) for each chunk."""
 
     def run(key, t, a):
-        return f(key[0].as_py(), t, a.to_pylist())
+        out = f(key[0].as_py(), t, a.to_pylist())
+        trim()
+        return out
 
     return texts.groupBy(CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 

@@ -7,7 +7,7 @@ each window is filed under its first. Texts' shingles join that file; where one
 text follows from the shingle's place in the window, windows that would stick out at either end fall (positional
 and length bounds), and the words in between are compared exactly.
 
-The texts are read twice, to count and to find, and don't move: a bitmap of 2**BITS bits, whatever the size of
+The texts are read twice, to count and to find, and don't move: a bitmap of fixed size, whatever the size of
 the benchmark, leaves out most shingles that no window has; what passes is sent with the words around it to the
 join, so the exact comparison needs no text. Windows, counts, items and hits are tables; nothing is collected
 but the bitmap. Up to FEW windows are broadcast, more are joined by a shuffle of the shingles that met.
@@ -23,15 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import raw, slices, write_table
+from rowsmith.llm.common import Bitmap, freed, raw, slices, write_table
 
 WINDOW = 10
 SHINGLE = 3
-BITS = 25
 FEW = 100_000  # windows, or keys of texts, that are broadcast
 
 _WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -102,34 +100,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
 
     schema = pa.schema([("item", pa.string()), ("w", pa.string()), ("n", pa.int32()), ("grams", pa.list_(pa.int64()))])
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    return items.mapInArrow(run, "item string, w string, n int, grams array<bigint>")
-
-
-class Bitmap:
-    """Which hashes may be among some; each task sends one of a fixed size."""
-
-    def __init__(self, hashes: DataFrame) -> None:
-        size = BITS
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            has = np.zeros(1 << size, bool)
-            for b in batches:
-                has[b.column("g").to_numpy().view(np.uint64) >> np.uint64(64 - size)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(has, bitorder="little").tobytes())], pa.binary())], names=["has"])
-
-        self.size, self.bits = size, np.zeros(1 << size - 3, np.uint8)
-        for r in hashes.select("g").coalesce(4).mapInArrow(run, "has binary").toLocalIterator():
-            self.bits |= np.frombuffer(zstandard.decompress(bytes(r.has)), np.uint8)
-
-    def __getstate__(self) -> tuple[int, bytes]:
-        return self.size, zstandard.compress(self.bits.tobytes())
-
-    def __setstate__(self, state: tuple[int, bytes]) -> None:
-        self.size, self.bits = state[0], np.frombuffer(zstandard.decompress(state[1]), np.uint8)
-
-    def may(self, h: np.ndarray) -> np.ndarray:
-        at = h >> np.uint64(64 - self.size)
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return items.mapInArrow(freed(run), "item string, w string, n int, grams array<bigint>")
 
 
 def _counted(docs: DataFrame, some: Bitmap, ks: list[int]) -> DataFrame:
@@ -150,7 +121,7 @@ def _counted(docs: DataFrame, some: Bitmap, ks: list[int]) -> DataFrame:
                     value, n = np.unique(h[first], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "texts"])
 
-    return docs.select("text").mapInArrow(run, "g bigint, texts bigint").groupBy("g").agg(F.sum("texts").alias("texts"))
+    return docs.select("text").mapInArrow(freed(run), "g bigint, texts bigint").groupBy("g").agg(F.sum("texts").alias("texts"))
 
 
 _KEY = ["k1", "k2"]
@@ -180,7 +151,7 @@ def _found(docs: DataFrame, some: Bitmap, ks: list[int], window: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), pa.array(t.n), pa.array(found, kind)], names=["doc_id", "k1", "k2", "n_words", "found"])
 
     kind = pa.list_(pa.struct([("g", pa.int64()), ("place", pa.int64()), ("lead", pa.int32()), ("around", pa.string())]))
-    return _keyed(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, k1 bigint, k2 bigint, n_words bigint, found array<struct<g:bigint,place:bigint,lead:int,around:string>>")
+    return _keyed(docs.select("doc_id", "text")).mapInArrow(freed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, k1 bigint, k2 bigint, n_words bigint, found array<struct<g:bigint,place:bigint,lead:int,around:string>>")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -188,10 +159,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     every = write_table(windows(benchmark, window, shingle), "decontam-windows")
     ks = sorted({min(shingle, r[0]) for r in every.select("n").distinct().collect()})  # at most `window` values
     grams = every.groupBy("w").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).select("w", "n", F.posexplode("grams").alias("at", "g"))
-    counted = _counted(docs, Bitmap(grams.select("g")), ks)
+    counted = _counted(docs, Bitmap(grams, "g"), ks)
     file = grams.join(counted, "g", "left").groupBy("w", "n").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "g", "at")).alias("x"))
     file = write_table(file.select("w", "n", "x.g", "x.at"), "decontam-file")
-    found = write_table(_found(docs, Bitmap(file.select("g")), ks, window), "decontam-found")
+    found = write_table(_found(docs, Bitmap(file, "g"), ks, window), "decontam-found")
     near = found.filter(F.size("found") > 0).select(*_KEY, F.explode("found").alias("f")).select(*_KEY, "f.*")
     met = near.join(F.broadcast(file) if file.count() <= FEW else file, "g").filter(F.col("lead") >= F.col("at"))
     words = F.slice(F.split("around", " "), F.col("lead") - F.col("at") + 1, F.col("n"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import slices
+from rowsmith.llm.common import freed, slices
 
 BITS = 16
 CELLS = 1 << 24  # of the matrix, 8 bytes each
@@ -97,7 +97,7 @@ def train(labelled: DataFrame, sample: int = TRAIN_ROWS) -> tuple[list[str], np.
                 cell, n = np.unique(np.concatenate(cells), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
-    counted = labelled.select("text", "lang").mapInArrow(count, "cell bigint, n bigint")
+    counted = labelled.select("text", "lang").mapInArrow(freed(count), "cell bigint, n bigint")
     total = np.zeros((len(names), 1 << bits))
     for got in _batches(counted.groupBy("cell").agg(F.sum("n").alias("n"))):
         total.ravel()[got.column("cell").to_numpy()] = got.column("n").to_numpy()
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *carried: Colu
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(value, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in keep], "lang_pred string, score double"]))
+    return docs.mapInArrow(freed(run), ", ".join([*[f"{c} {kinds[c]}" for c in keep], "lang_pred string, score double"]))
 
 
 def identify(docs: DataFrame, held_out: Column, sample: int = TRAIN_ROWS) -> DataFrame:

@@ -26,20 +26,19 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from rowsmith.llm.common import gathered, slices
+from rowsmith.llm.common import freed, gathered, slices, trim
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-SLICE = 3_000_000  # bytes of text at once
+GATHER, SLICE = 2_500_000, 3_500_000  # bytes of text at once: about as much, and at most
 BLOCK = 60_000  # characters of distinct words at once
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 GRAIN = float(1 << 40)  # of probabilities within a step
@@ -112,6 +111,14 @@ class Vocabulary:
         """The text of ids; one leading space, the model's own, goes."""
         return self.joined(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
+    def spell(self, ids: np.ndarray, offsets: np.ndarray, texts: list[bytes], take: list[int]) -> list[bool]:
+        """Whether each run of ids spells its text."""
+        size = self.size[ids]
+        upto = np.cumsum(size)
+        out = self.flat[np.repeat(self.at[ids] - upto + size, size) + np.arange(int(upto[-1]) if len(ids) else 0)].tobytes()
+        ends = np.r_[0, upto][offsets].tolist()
+        return [out[a + out.startswith(b" ", a, b) : b] == texts[i] for i, a, b in zip(take, ends[:-1], ends[1:], strict=True)]
+
     def joined(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
         upto = np.cumsum(size)
@@ -125,15 +132,28 @@ def vocabulary(name: str) -> Vocabulary:
     return Vocabulary(name)
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list is emptied."""
+    out = np.empty(sum(map(len, parts)), parts[0].dtype)
+    at = len(out)
+    while parts:
+        x = parts.pop()
+        at -= len(x)
+        out[at : at + len(x)] = x
+    return out
+
+
 class Lattice:
     """The edges of distinct words, in a row, with the probability of each given its start."""
 
-    def __init__(self, v: Vocabulary, words: list[str]) -> None:
-        size = np.array(list(map(len, words)), np.int64)
+    def __init__(self, v: Vocabulary, words: pa.Array) -> None:
+        size = pc.utf8_length(words).to_numpy().astype(np.int64)
         self.end = np.cumsum(size)
         self.begin = self.end - size
         n = int(self.end[-1])
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        text = words.buffers()[2].to_pybytes()[ends[0] : ends[-1]].decode()
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         left = (np.repeat(self.end, size) - np.arange(n)).astype(np.int32)
         self.spelled: list[np.ndarray] = []
         self.edges = np.zeros(n + 1, np.int64)  # the first edge from each place
@@ -144,7 +164,9 @@ class Lattice:
             self.edges[at:to] = edges + n_edges
             parts.append((first + n_edges, width, piece, np.where(goal == to - at, n, goal + at).astype(np.int32), logp, upto))
             at, n_edges = to, n_edges + len(piece)
-        self.first, self.width, self.piece, self.to, self.logp, self.upto = map(np.concatenate, zip(*parts, strict=True))
+        fields = [list(x) for x in zip(*parts, strict=True)]
+        del parts
+        self.first, self.width, self.piece, self.to, self.logp, self.upto = (_joined(x) for x in fields)
         self.done = self.to == n  # a word's end is place n
 
     def block(self, v: Vocabulary, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -301,19 +323,33 @@ class Search:
         return np.append(path[:t], rest[pick]), t
 
 
+def words_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the number of each word in a row, and where each text's words begin."""
+    column = pc.fill_null(pa.array(texts, pa.large_string()), "")
+    split = pc.split_pattern(column, " ")
+    plain = split.flatten()
+    start = split.offsets.to_numpy().copy()
+    size = np.diff(start)
+    # where words aren't just what stands between single spaces
+    odd = pc.match_substring_regex(column, f"^ |  | $|{SPACE}|^$").to_numpy(zero_copy_only=False)
+    own = [[w[1:] for w in WORDS.findall(SPACE + texts[i].replace(" ", SPACE))] if texts[i] else [] for i in np.flatnonzero(odd).tolist()]
+    size[odd] = list(map(len, own))
+    start[:-1][odd] = len(plain) + np.cumsum([0, *map(len, own)])[:-1]
+    row = np.r_[0, np.cumsum(size)]
+    at = np.repeat(start[:-1] - row[:-1], size) + np.arange(row[-1])
+    coded = pa.concat_arrays([plain, pa.array([w for s in own for w in s], pa.large_string())]).take(pa.array(at)).dictionary_encode()
+    return pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string())), coded.indices.to_numpy().astype(np.int64), row
+
+
 def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples in order: ids, log-probability, perturbed log-probability, inclusion score."""
-    split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    flat = [w for s in split for w in s]
-    number: dict[str, int] = defaultdict(count().__next__)  # words count from 0 as they come
-    word = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    row = np.cumsum([0, *map(len, split)])
+    distinct, word, row = words_of(texts)
     with np.errstate(over="ignore", divide="ignore"):
         key = mix(keys.astype(np.uint64) * FACTOR + np.uint64(seed))
         searches = [Search(x, k) for x in key]
-        if not flat:
+        if not len(word):
             return [[(np.zeros(0, np.int64), 0.0, s.bound, 1.0)] for s in searches]
-        lattice = Lattice(v, list(number))
+        lattice = Lattice(v, distinct)
         owner = np.repeat(np.arange(len(texts)), np.diff(row))
         inside = (np.arange(len(word)) - row[owner]).astype(np.uint64)
         word_key = mix(key[owner] + inside * np.uint64(0xA0761D6478BD642F))
@@ -368,30 +404,27 @@ def encode(docs: DataFrame, k: int = 2, model: str = "piece_bpe_32k.model", seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in gathered(batches, SLICE):
+        for batch in gathered(batches, GATHER):
             for part in slices(batch, limit=SLICE):
                 texts = part.column("text").to_pylist()
                 keys = part.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy()
-                take, number, ids, logp, bound, score, same = [], [], [], [], [], [], []
-                for i, (text, samples) in enumerate(zip(texts, sample(v, texts, keys, k, seed), strict=True)):
-                    back = (text or "").replace(SPACE, " ").encode()
-                    for n, (x, lp, b, q) in enumerate(samples, 1):
-                        take.append(i)
-                        number.append(n)
-                        ids.append(x)
-                        logp.append(lp)
-                        bound.append(b)
-                        score.append(q)
-                        same.append(v.joined(x) == back)
+                samples = sample(v, texts, keys, k, seed)
+                take = [i for i, own in enumerate(samples) for _ in own]
+                number = [n for own in samples for n in range(1, len(own) + 1)]
+                ids, logp, bound, score = zip(*[x for own in samples for x in own], strict=True)
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                flat = np.concatenate(ids).astype(np.int32)
+                same = v.spell(flat, offsets, [(t or "").replace(SPACE, " ").encode() for t in texts], take)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(take)), pa.array(number, pa.int32()), lists, pa.array(logp), pa.array(bound), pa.array(score), pa.array(same)],
                     names=["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"],
                 )
+                del samples, ids, flat, lists
+                trim()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {kind}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -403,4 +436,4 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
             text = [v.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in encoded.dtypes] + ["text string"]))
+    return encoded.mapInArrow(freed(run), ", ".join([f"`{c}` {t}" for c, t in encoded.dtypes] + ["text string"]))

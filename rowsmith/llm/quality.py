@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import bounds, drop_since, made, raw, slices, write_table
+from rowsmith.llm.common import bounds, drop_since, freed, made, raw, slices, write_table
 
 SAMPLE = 600
 STARTS = 30
@@ -107,7 +107,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in ("doc_id", "lang", "source")] + [f"{c} bigint" for c in COUNTS])
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(freed(run), schema)
 
 
 def vector() -> list[Column]:
@@ -233,7 +233,7 @@ def _estimates(rows: DataFrame) -> DataFrame:
                 out.append(_params(r["g"], m + np.array(r["o"]), cov))
             yield pa.RecordBatch.from_pylist(out, schema=_PARAMS)
 
-    return sums.mapInArrow(invert, _PARAMS_SQL)
+    return sums.mapInArrow(freed(invert), _PARAMS_SQL)
 
 
 def _meet(rows: DataFrame, few: DataFrame, key: str, groups: int) -> DataFrame:

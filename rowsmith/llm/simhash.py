@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm import chunks
-from rowsmith.llm.common import bounds, drop_since, made, raw, slices, write_table
+from rowsmith.llm.common import Bitmap, bounds, drop_since, freed, join_copies, made, raw, slices, write_table
 
 GROUP = 4096  # members of a group before it is dealt anew
 BRUTE = 16  # groups up to this size are compared directly
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
                 fps = np.array([fingerprint(shingle_hashes(t, words, seed)) for t in raw(part.column("text"))], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
 
 
 def signed(x: int) -> int:
@@ -210,7 +210,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     groups = cold.unionByName(hot).withColumn("k", F.col("k").cast("bigint")).withColumn("k2", F.col("k2").cast("bigint"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["k", "v", "k2", "v2"]
-    return groups.repartition(n, *key).sortWithinPartitions(*key).select(*key, "fp").mapInArrow(run, "a bigint, b bigint").distinct()
+    return groups.repartition(n, *key).sortWithinPartitions(*key).select(*key, "fp").mapInArrow(freed(run), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, label: str = "component") -> DataFrame:
@@ -238,18 +238,18 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     fps = write_table(fingerprints(docs, words), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     roots = components(links(nodes.select("fp"), max_bits))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     firsts = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = named.join(firsts, "root").select("fp", "component_id")
-    return fps.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = write_table(named.join(firsts, "root").select("fp", "copies", "component_id"), "simhash-components")
+    return join_copies(fps, whole, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 # Near duplicates by similarity: wider fingerprints, sampled bits, verified on the shingles themselves.
 
 WIDE = 4  # 64-bit words of a fingerprint
-TABLES = 32
+TABLES = 16
 SAMPLED = 20  # bits of a table's key
 DEAL = 16, 8  # tables and bits by which a group with over GROUP members is dealt anew
 LOOSE = 1.5  # times the expected differing bits; verification decides
@@ -301,7 +301,7 @@ def shingle_table(docs: DataFrame, words: int) -> DataFrame:
                 )
 
     words_ = ", ".join(f"f{i} bigint" for i in range(WIDE))
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {words_}, set_id bigint, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, {words_}, set_id bigint, shingles binary")
 
 
 def _stir(h: np.ndarray, i: int) -> np.ndarray:
@@ -327,13 +327,13 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         return run
 
     schema = "upper bigint, k bigint, node bigint, " + ", ".join(f"{c} bigint" for c in f)
-    dealt = nodes.select("node", *f).mapInArrow(spread(_bit_sets(TABLES, SAMPLED, 1), None), schema)
+    dealt = nodes.select("node", *f).mapInArrow(freed(spread(_bit_sets(TABLES, SAMPLED, 1), None)), schema)
     sizes = dealt.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP)
     # tables have 2**SAMPLED keys each; at most (rows / GROUP) of them are large
     large = write_table(sizes.select("k"), "simhash-large")
     cold = dealt.join(large, "k", "left_anti")
     hot = dealt.join(large, "k", "left_semi").select(F.col("k").alias("old"), "node", *f)
-    hot = hot.mapInArrow(spread(_bit_sets(*DEAL, 2), "old"), schema).withColumn("upper", F.col("upper") + 1)
+    hot = hot.mapInArrow(freed(spread(_bit_sets(*DEAL, 2), "old")), schema).withColumn("upper", F.col("upper") + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -373,7 +373,7 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = cold.unionByName(hot.select(cold.columns)).repartition(n, "upper", "k").sortWithinPartitions("upper", "k")
-    return groups.select("upper", "k", "node", *f).mapInArrow(run, "a bigint, b bigint").distinct()
+    return groups.select("upper", "k", "node", *f).mapInArrow(freed(run), "a bigint, b bigint").distinct()
 
 
 def _closest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +411,7 @@ def common_shingles(nodes: DataFrame, table: DataFrame) -> tuple[np.ndarray, np.
                 value, n = np.unique(np.concatenate(fresh), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    counted = chosen.select("set_id", "shingles").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = chosen.select("set_id", "shingles").mapInArrow(freed(run), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     got = counted.filter("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     value, n = got.column("shingle").to_numpy().astype(np.uint32), got.column("n").to_numpy()
     at = np.argsort(value)
@@ -468,9 +468,9 @@ def shared_shingles(short: DataFrame) -> DataFrame:
     def packed(rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0] >> 31), pa.array(rows[:, 0] & (1 << 31) - 1), pa.array(rows[:, 1].copy())], names=["k", "place", "node"])
 
-    thin = short.select("node", "prefix").mapInArrow(spread, "kp bigint, node bigint")
+    thin = short.select("node", "prefix").mapInArrow(freed(spread), "kp bigint, node bigint")
     n = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return thin.repartition(n, F.shiftright("kp", 31)).sortWithinPartitions("kp").mapInArrow(several, "k bigint, place bigint, node bigint")
+    return thin.repartition(n, F.shiftright("kp", 31)).sortWithinPartitions("kp").mapInArrow(freed(several), "k bigint, place bigint, node bigint")
 
 
 def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
@@ -488,9 +488,8 @@ def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFr
             own = [prefix(x, similarity, common).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("set_id"), *[b.column(c) for c in f], pa.array([len(x) for x in sets], pa.int64()), pa.array(own, pa.binary())], names=["node", "set_id", *f, "n", "prefix"])
 
-    ones = table.join(named, (table.doc_id == named.node) & (table.set_id == named.set_id), "left_semi").dropDuplicates(["doc_id", "set_id"])
-    short = ones.select("doc_id", "set_id", *f, "shingles").mapInArrow(prefixes, "node bigint, set_id bigint, " + ", ".join(f"{c} bigint" for c in f) + ", n bigint, prefix binary")
-    short = write_table(short.join(named, ["node", "set_id"]).drop("set_id"), "prefixes")
+    short = table.select("doc_id", "set_id", *f, "shingles").mapInArrow(freed(prefixes), "node bigint, set_id bigint, " + ", ".join(f"{c} bigint" for c in f) + ", n bigint, prefix binary")
+    short = write_table(short.join(named, ["node", "set_id"]).dropDuplicates(["node", "set_id"]).drop("set_id"), "prefixes")
     shared = write_table(shared_shingles(short), "prefixes-shared")
     groups = bounded_groups(shared.join(short.select("node", "root", "n", *f), "node"))
     columns = ["k", "part", "own", "node", "root", "n", "place", *f]
@@ -542,7 +541,7 @@ def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFr
 
     count = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = groups.select(*columns).repartition(count, "k", "part").sortWithinPartitions("k", "part", "root")
-    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
+    return groups.mapInArrow(freed(run), "a bigint, b bigint").distinct()
 
 
 def bounded_groups(dealt: DataFrame) -> DataFrame:
@@ -562,9 +561,17 @@ def bounded_groups(dealt: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs a, b of nodes those with similar sets."""
+    """Of the pairs a, b of nodes those with similar sets. A bitmap of the pairs' nodes keeps most other sets where
+    they are."""
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = table.join(ids, table.doc_id == ids.node, "left_semi").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "shingles")
+    some = Bitmap(ids.select(F.xxhash64("node").alias("h")), "h")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(some.may(b.column("h").to_numpy().view(np.uint64)))).drop_columns(["h"])
+
+    sets = table.select("doc_id", "set_id", "shingles", F.xxhash64("doc_id").alias("h")).mapInArrow(freed(wanted), "doc_id bigint, set_id bigint, shingles binary")
+    sets = write_table(sets.join(ids, sets.doc_id == ids.node, "left_semi").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "shingles"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -577,7 +584,7 @@ def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(freed(verify), "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -593,14 +600,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     f = [f"f{i}" for i in range(WIDE)]
     spark, mark = docs.sparkSession, made()
     table = write_table(shingle_table(docs.filter("doc_id IS NOT NULL"), words), "shingles")
-    nodes = write_table(table.groupBy(*f, "set_id").agg(F.min("doc_id").alias("node")), "shingle-nodes")
+    nodes = write_table(table.groupBy(*f, "set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "shingle-nodes")
     pairs = write_table(candidates(nodes, similarity), "candidates")
     near = write_table(verified(pairs, table, similarity), "near")
     rough = components(near, "similar")
     named = write_table(nodes.join(rough, "node", "left").select("node", "set_id", F.coalesce("root", "node").alias("root")), "rough")
     rest = write_table(exact_pairs(table, named, similarity), "rest")
     roots = components(near.unionByName(verified(rest, table, similarity)), "similar")
-    named = nodes.join(roots, "node", "left").select(*f, "set_id", F.coalesce("root", "node").alias("component_id"))
-    out = write_table(table.select("doc_id", *f, "set_id").join(named, [*f, "set_id"]).select("doc_id", "component_id"), "similar-groups")
+    named = write_table(nodes.join(roots, "node", "left").select(*f, "set_id", "copies", F.coalesce("root", "node").alias("component_id")), "similar-nodes")
+    out = write_table(join_copies(table.select("doc_id", *f, "set_id"), named, [*f, "set_id"]).select("doc_id", "component_id"), "similar-groups")
     drop_since(spark, mark, out)
     return out

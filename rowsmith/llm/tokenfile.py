@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import gathered, slices, write_table
+from rowsmith.llm.common import freed, gathered, slices, write_table
 
 CHUNK = 1 << 16  # ids
 SEGMENT = 1 << 19  # ids after which a segment ends, at a document's end
-CACHE = 300_000  # stems
-SLICE = 4_000_000  # bytes of text at once
+CACHE = 400_000  # stems
+GATHER, SLICE = 4_500_000, 6_000_000  # bytes of text at once: about as much, and at most
 MAGIC = b"BITPLANE"
 HEAD = struct.Struct("<8sIIIHBB")  # magic, ids, ids to a chunk, chunks, planes, 1 for bits, bytes of an id
 END = 2
@@ -136,7 +136,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
+        self.known = pa.array([""], pa.large_string())  # stems by number
         self.start, self.size, self.flat, self.used = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,16 +155,16 @@ class Encoder:
 
     def numbers(self, stems: pa.Array) -> np.ndarray:
         """Places of distinct stems in the table."""
-        if len(self.number) + len(stems) > CACHE:
+        place = pc.index_in(stems, value_set=self.known)
+        if place.null_count and len(self.known) + place.null_count > CACHE:
             self.clear()
-        plain = pc.match_substring_regex(stems, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
-        known = stems.to_pylist()
-        new = [i for i, x in enumerate(known) if x not in self.number]
-        sure = [i for i in new if plain[i]]
-        rest = [i for i in new if not plain[i]]
-        if new:
-            size, flat = map(np.concatenate, zip(self.words([known[i] for i in sure]), self.raw([known[i] for i in rest]), strict=True))
-            k, n = len(self.number), len(self.number) + len(new)
+            place = pc.index_in(stems, value_set=self.known)
+        if place.null_count:
+            new = stems.filter(place.is_null())
+            plain = pc.match_substring_regex(new, f"^[{LETTERS}]+$")
+            sure, rest = new.filter(plain), new.filter(pc.invert(plain))
+            size, flat = map(np.concatenate, zip(self.words(sure.to_pylist()), self.raw(rest.to_pylist()), strict=True))
+            k, n = len(self.known), len(self.known) + len(new)
             while n > len(self.start):
                 self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
             while self.used + len(flat) > len(self.flat):
@@ -172,8 +172,9 @@ class Encoder:
             self.start[k:n], self.size[k:n] = self.used + np.cumsum(size) - size, size
             self.flat[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            self.number.update(zip([known[i] for i in sure + rest], range(k, n), strict=True))
-        return np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
+            self.known = pa.concat_arrays([self.known, sure, rest])
+            place = pc.index_in(stems, value_set=self.known)
+        return place.to_numpy().astype(np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's number of them, with the end id."""
@@ -241,7 +242,7 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END
                 [{"shard": shard, "segment": number, "n_tokens": total, "doc_ids": names, "sizes": sizes, "payload": write_segment(np.concatenate(held), bits=bits)}], schema=kind
             )
 
-        for batch in gathered(batches, SLICE):
+        for batch in gathered(batches, GATHER):
             kind = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
             for part in slices(batch, limit=SLICE):
                 ids, per_text = library.encode(part.column("text"), end)
@@ -257,7 +258,7 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END
 
     kind = dict(docs.dtypes)["doc_id"]
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return write_table(ordered.mapInArrow(run, f"shard int, segment int, n_tokens bigint, doc_ids array<{kind}>, sizes array<bigint>, payload binary"), "tokens")
+    return write_table(ordered.mapInArrow(freed(run), f"shard int, segment int, n_tokens bigint, doc_ids array<{kind}>, sizes array<bigint>, payload binary"), "tokens")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -277,7 +278,7 @@ def read_back(segments: DataFrame) -> DataFrame:
                 )
 
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    docs = segments.select("shard", "segment", "doc_ids", "sizes", "payload").mapInArrow(run, f"shard int, segment int, doc_id {kind}, local bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = segments.select("shard", "segment", "doc_ids", "sizes", "payload").mapInArrow(freed(run), f"shard int, segment int, doc_id {kind}, local bigint, n_tokens bigint, ids_crc32 bigint")
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = segments.groupBy("shard", "segment").agg(F.sum("n_tokens").alias("n"))
     shards = per.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", earlier(Window.orderBy("shard")).alias("shard_start"))

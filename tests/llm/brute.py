@@ -165,3 +165,31 @@ def naive_bayes(learn, texts, alpha, bits):
         best = max(names, key=lambda x: logs[x])
         out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
     return out
+
+
+class Segmentations:
+    """All segmentations of a text into pieces, weighed as the operator says."""
+
+    def __init__(self, model):
+        import public_tokenizers
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
+        n = m.get_piece_size()
+        plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
+        self.ids = {m.id_to_piece(i): i for i in plain}
+        self.weight = {i: -math.log(2 + min(-m.get_score(i), n)) for i in plain}
+        self.bytes = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
+        self.weight |= dict.fromkeys(self.bytes.values(), -math.log(2 + n))
+        self.longest = max(map(len, self.ids))
+
+    def total(self, text):
+        """The logarithm of the sum over all segmentations."""
+        s = "\u2581" + text.replace(" ", "\u2581") if text else ""
+        at = [0.0] + [-math.inf] * len(s)
+        for j in range(1, len(s) + 1):
+            ways = [at[i] + self.weight[self.ids[s[i:j]]] for i in range(max(0, j - self.longest), j) if s[i:j] in self.ids]
+            if s[j - 1] not in self.ids:
+                ways.append(at[j - 1] + sum(self.weight[self.bytes[b]] for b in s[j - 1].encode()))
+            at[j] = float(np.logaddexp.reduce(ways))
+        return at[-1]

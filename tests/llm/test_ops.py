@@ -14,7 +14,7 @@ import brute
 from oracle import SF, check
 from pyspark.sql import functions as F
 
-from rowsmith.llm import chunks, decontam, langid, licences, pieces, quality, simhash, substring, suffix, tokenfile, warc
+from rowsmith.llm import chunks, common, decontam, langid, licences, pieces, quality, simhash, substring, suffix, tokenfile, warc
 from rowsmith.llm.catalogue import QUERIES, SQL
 
 
@@ -32,7 +32,10 @@ def test_sql(spark, name):
     check(spark, QUERIES, SQL, name)
 
 
-def test_simhash(spark, rows):
+@pytest.mark.parametrize(("direct", "hot"), [(simhash.BRUTE, common.HOT_ROWS), (1, 2)])
+def test_simhash(spark, rows, monkeypatch, direct, hot):
+    monkeypatch.setattr(simhash, "BRUTE", direct)  # 1: every group goes through the tree
+    monkeypatch.setattr(common, "HOT_ROWS", hot)  # copies are joined apart
     assert got(spark, "op9_simhash") == brute.simhash(rows)
 
 
@@ -49,7 +52,7 @@ def test_decontam_beyond_a_broadcast(spark, rows, monkeypatch):
     clean = {r[0] for r in decontam.clean(docs, bench).select("doc_id").collect()}
     assert clean == {r[0] for r in want if not r[5]}
     monkeypatch.setattr(decontam, "FEW", 0)
-    monkeypatch.setattr(decontam, "BITS", 12)  # and with a bitmap that lets nearly all pass
+    monkeypatch.setattr(common, "BITS", 12)  # and with a bitmap that lets nearly all pass
     assert {tuple(r) for r in decontam.scan(docs, bench).collect()} == want
     assert {r[0] for r in decontam.clean(docs, bench).select("doc_id").collect()} == clean
 
@@ -179,13 +182,28 @@ def test_language(spark):
     held = df[df.held_out]
     assert len(held) > 100 and (held.lang == held.lang_pred).mean() > 0.98
     assert df.score.between(0, 1).all()
-    assert langid.score(["123 !", None, ""], ["a"], np.zeros((1, langid.BUCKETS + 1)))[0] == ["und"] * 3
+    assert langid.score(["123 !", None, ""], ["a"], np.zeros((1, 257)))[0] == ["und"] * 3
+
+
+@pytest.mark.parametrize("cells", [langid.CELLS, 2000])
+def test_language_by_brute_force(spark, rows, monkeypatch, cells):
+    monkeypatch.setattr(langid, "CELLS", cells)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60").withColumn("text", F.substring("text", 1, 400))
+    docs = docs.unionByName(spark.createDataFrame([(900, "", "en", "s", 0), (901, None, "en", "s", 0), (902, "12 .", None, "s", 0), (903, "İ \U0001f3f4 日本", None, "s", 0)], docs.schema))
+    table = [(r.doc_id, r.lang, r.text) for r in docs.collect()]
+    learn = [(x, t) for i, x, t in table if i % 3 and x is not None and t is not None]
+    bits = langid.bits_for(len({x for x, _ in learn}))
+    want = dict(zip([i for i, _, _ in table], brute.naive_bayes(learn, [t for _, _, t in table], langid.ALPHA, bits), strict=True))
+    got = langid.identify(docs, F.col("doc_id") % 3 == 0).collect()
+    assert len(got) == len(want) and bits == (16 if cells > 2000 else 8)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and math.isclose(r.score, want[r.doc_id][1], abs_tol=1e-9)
 
 
 def test_language_of_any_code_point():
     texts = ["\U00030000\U000323af", "\U0001f3f4\U000e0067\U000e007f", "a\U000e0100 b", "\U0010ffff"]
     assert len(langid.letters()) == sys.maxunicode + 1
-    assert langid.score(texts, ["a"], np.zeros((1, langid.BUCKETS + 1)))[0] == ["a", "und", "a", "und"]
+    assert langid.score(texts, ["a"], np.zeros((1, 257)))[0] == ["a", "und", "a", "und"]
 
 
 def test_quality_counts_and_verdict(spark, rows):
@@ -310,6 +328,33 @@ def test_sampling():
     assert [len(o) for o in pieces.sample(v, ["a", None, ""], np.arange(3), 50, 0)] == [2, 1, 1]
 
 
+def test_probabilities_by_brute_force(spark, rows):
+    """Of the query's rows, those of short texts: each is a segmentation of its text, with its probability."""
+    every = brute.Segmentations("piece_bpe_32k.model")
+    texts = dict(sorted(rows, key=lambda r: len(r[1] or ""))[:150])
+    got = {}
+    for r in QUERIES["op8_sentencepiece_sampling"](spark, SF).filter(F.col("doc_id").isin(list(texts))).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert got.keys() == texts.keys()
+    for i, samples in got.items():
+        total = every.total(texts[i])
+        samples.sort(key=lambda r: r.sample)
+        assert len({tuple(r.ids) for r in samples}) == len(samples)
+        assert [r.sample for r in samples] == list(range(1, len(samples) + 1))
+        for r in samples:
+            assert math.isclose(r.log_prob, sum(every.weight[x] for x in r.ids) - total, abs_tol=1e-6)
+            assert 0 < r.inclusion <= 1
+        assert all(a.perturbed >= b.perturbed for a, b in zip(samples, samples[1:], strict=False))
+
+
+def test_samples_depend_on_the_row_key_only(spark):
+    docs = spark.createDataFrame([(i, f"some text number {i % 7}, and éàü \U0001f600") for i in range(50)], "doc_id bigint, text string")
+    one = {(r.doc_id, r.sample): (tuple(r.ids), r.perturbed) for r in pieces.encode(docs.coalesce(1), k=3).collect()}
+    many = {(r.doc_id, r.sample): (tuple(r.ids), r.perturbed) for r in pieces.encode(docs.repartition(9), k=3).collect()}
+    assert one == many
+    assert one[0, 1] != one[7, 1] and one[0, 1] != {(r.doc_id, r.sample): (tuple(r.ids), r.perturbed) for r in pieces.encode(docs, k=3, seed=1).collect()}[0, 1]
+
+
 def test_round_trip(spark, odd):
     out = QUERIES["op8_sentencepiece_sampling"](spark, SF)
     assert out.filter("NOT round_trip").count() == 0
@@ -426,6 +471,37 @@ def test_odd_rows(spark, odd, none, name):
     assert run(none).count() == 0
 
 
+CLASHING = "chunk_ bucket chunk kind blob fp node root least k k1 k2 found g w n salt own lang_ x0 d cut hits words dice ids sample score held_out shard segment start component_id n_words kept".split()
+
+
+def test_odd_values(spark, odd):
+    """Empty, null and long texts, copies, and columns named as the operators name theirs."""
+    rows = [(i, t) for i, t in enumerate([r.text for r in odd.collect()])]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None, None if i % 3 else "s") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit("x"))
+    items = [(1, "one two three"), (2, None), (3, ""), (4, "same text of some words here same text of some words")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("g", F.lit(1)).withColumn("w", F.lit(1))
+    got = lambda df: {tuple(r) for r in df.collect()}
+    assert got(suffix.dedup(docs)) == brute.suffix(rows)
+    assert got(substring.dedup(docs)) == brute.substring(rows)
+    assert got(decontam.scan(docs, bench)) == brute.decontam(rows, items)
+    assert got(tokenfile.read_back(tokenfile.encode(docs))) == brute.tokens(rows)
+    assert got(simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")) == brute.simhash(rows)
+    kept = substring.dedup(docs, keep_columns=True)
+    assert kept.columns == docs.columns and kept.filter("chunk_ <> 'x'").count() == 0
+    for r in quality.quality(docs).collect():
+        n, chars, symbols, lines, repeats = brute.base(dict(rows)[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, lines, repeats, n < 50 or 100 * repeats > 50 * n)
+    for r in langid.identify(docs, F.col("doc_id") % 5 == 0).collect():
+        assert (r.lang_pred, r.score) == (("und", 0.0) if not any(c.isalpha() for c in dict(rows)[r.doc_id] or "") else ("en", 1.0))
+    for r in pieces.decode(pieces.encode(docs, k=2)).collect():
+        assert r.text == (dict(rows)[r.doc_id] or "") and r.round_trip
+    assert {r.license_id for r in licences.scan(docs).collect()} == {None}
+    for stage in (decontam.clean(docs, bench),):
+        assert stage.columns == docs.columns and {r.doc_id for r in stage.collect()} == {r[0] for r in brute.decontam(rows, items) if not r[5]}
+
+
 def test_parts_cover_all_keys():
     keys = np.sort(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64))
     for n in (1, 7, 5000, 1 << 31):
