@@ -273,3 +273,16 @@ def test_literal(spark, kinds, name, value):
 def test_wrong_literal(spark, kinds, name, value):
     with pytest.raises(TypeError, match=name):
         read(spark, kinds, ID, col(name).equal(value))
+
+
+def test_options_reach_the_reader(spark, evolving):
+    df = read(spark, evolving, ID, options={"pathGlobFilter": "b*.parquet"})
+    assert ids(df) == list(range(200, 250))
+
+
+def test_stream_over_files_with_different_columns(spark, evolving, tmp_path):
+    rec = Record(field("id", "int64"), field("x", "int64"), field("s", "string"))
+    q = read_stream(spark, evolving, rec, col("id").less(220), max_files=1).writeStream.format("memory").queryName("evolving").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    q.awaitTermination()
+    got = {r.id: (r.x, r.s) for r in spark.table("evolving").collect()}
+    assert got == {**{i: (0, "") for i in range(100)}, **{100 + i: (i, "") for i in range(100)}, **{200 + i: (i, "y") for i in range(20)}}
