@@ -430,8 +430,9 @@ def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np
 
 
 def sure_bits(similarity: float) -> int:
-    """Differing bits over which a pair isn't similar: each bit differs with the same chance, independently, so
-    more have a chance of one in 10**11."""
+    """Differing bits over which a pair is taken for not similar. If each bit differs with the same chance,
+    independently, as majorities of many hashes do nearly, a pair of similarity 0.8 has more with a chance of 2 in
+    10**10 (the binomial tail); more similar pairs with a smaller one."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     return math.ceil(64 * WIDE * p + SURE * math.sqrt(64 * WIDE * p * (1 - p)))
 
@@ -595,7 +596,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     bits; close pairs of a group are verified on the shingles, and those that pass make components. This finds
     most links but not all, and decides no pair against a link. Then a prefix-filtered join on the shingles gives
     every pair of different components that can be similar; fingerprints over `sure_bits` apart rule a pair out,
-    the others are verified on the shingles, so no link is lost. Null doc_ids have no row here.
+    the others are verified on the shingles, so no link is lost but by the chance that `sure_bits` gives. Null
+    doc_ids have no row here.
     """
     f = [f"f{i}" for i in range(WIDE)]
     spark, mark = docs.sparkSession, made()
