@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,48 +100,62 @@ def batches(templates: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
     return out
 
 
-def _hits(templates: list[tuple[str, str]], threshold: float) -> Column:
-    """Structs of dice and id: windows of the array `words` that reach the threshold."""
-    rows, places, gate = [], [], set()
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where the value is made once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _pairs(w: Column) -> Column:
+    return F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _hits(templates: list[tuple[str, str]], threshold: float, w: Column) -> Column:
+    """Structs of dice and id: windows of the words that reach the threshold."""
+    rows, places = [], []
     for i, (name, text) in enumerate(templates):
         grams = bigrams(text)
         lo, hi = size_bounds(len(grams), threshold)
         rows.append(F.struct(F.lit(name).alias("id"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(words(text))).alias("words"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
-        for g, at in anchors(text, threshold):
-            places.append(F.struct(F.lit(g).alias("gram"), F.lit(i).alias("template"), F.lit(at).alias("at")))
-            gate.add(max(g.split(), key=lambda x: (len(x), x)))
-    table, places = F.array(*rows), F.array(*places)
-    w = F.col("words")
-
-    def pairs(w: Column) -> Column:
-        return F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-
-    def windows(grams: Column) -> Column:
-        """Template and first word (from 0) of each window, from the text's bigrams."""
-        here = F.filter(places, lambda p: F.array_contains(grams, p["gram"]))
-        return F.array_distinct(
-            F.flatten(F.transform(here, lambda p: F.transform(F.filter(F.transform(grams, lambda g, i: F.when(g == p["gram"], i)), lambda i: i.isNotNull()), lambda i: F.struct(p["template"].alias("template"), (i - p["at"]).alias("first")))))
-        )
+        places += [(g, i, at) for g, at in anchors(text, threshold)]
+    gate = sorted({max(g.split(), key=lambda x: (len(x), x)) for g, _, _ in places})
+    anchor = F.array(*map(F.lit, sorted({g for g, _, _ in places})))
+    table = F.array(*rows)
+    where = F.array(*[F.struct(F.lit(g).alias("gram"), F.lit(i).alias("template"), F.lit(at).alias("at")) for g, i, at in places])
+
+    def windows(grams: Column, present: Column) -> Column:
+        """Template and first word (from 0) of each window, from the text's bigrams and the anchors among them."""
+        spots = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("gram"), i.alias("i"))), lambda x: F.array_contains(present, x["gram"]))
+        here = F.filter(where, lambda p: F.array_contains(present, p["gram"]))
+
+        def of_place(p: Column, spots: Column) -> Column:
+            return F.transform(F.filter(spots, lambda x: x["gram"] == p["gram"]), lambda x: F.struct(p["template"].alias("template"), (x["i"] - p["at"]).alias("first")))
+
+        return _once(spots, lambda spots: F.array_distinct(F.flatten(F.transform(here, lambda p: of_place(p, spots)))))
 
     def dice(x: Column) -> Column:
         t = F.get(table, x["template"])
         first = F.greatest(x["first"], F.lit(0))
-        own = F.array_distinct(pairs(F.slice(w, first + 1, F.greatest(F.least(x["first"] + t["words"], F.size(w)) - first, F.lit(1)))))
-        # sizes first, the coefficient only within the bounds
-        fits = (F.size(own) >= t["lo"]) & (F.size(own) <= t["hi"])
-        value = F.when(fits, 2.0 * F.size(F.array_intersect(t["grams"], own)) / (F.size(own) + F.size(t["grams"])))
-        return F.struct(value.alias("dice"), t["id"].alias("id"))
+        own = F.array_distinct(_pairs(F.slice(w, first + 1, F.greatest(F.least(x["first"] + t["words"], F.size(w)) - first, F.lit(1)))))
+
+        def value(own: Column) -> Column:  # sizes first, the coefficient only within the bounds
+            fits = (F.size(own) >= t["lo"]) & (F.size(own) <= t["hi"])
+            return F.when(fits, 2.0 * F.size(F.array_intersect(t["grams"], own)) / (F.size(own) + F.size(t["grams"])))
+
+        return F.struct(_once(own, value).alias("dice"), t["id"].alias("id"))
+
+    def found(grams: Column, present: Column) -> Column:
+        return F.filter(F.transform(windows(grams, present), dice), lambda x: x["dice"] >= threshold)
 
-    found = F.filter(F.transform(windows(pairs(w)), dice), lambda x: x["dice"] >= threshold)
-    return F.when((F.size(w) > 1) & F.arrays_overlap(w, F.array(*map(F.lit, sorted(gate)))), found).otherwise(F.array().cast("array<struct<dice:double,id:string>>"))
+    none = F.array().cast("array<struct<dice:double,id:string>>")
+    near = _once(_pairs(w), lambda grams: _once(F.array_intersect(anchor, grams), lambda present: F.when(F.size(present) > 0, found(grams, present)).otherwise(none)))
+    return F.when((F.size(w) > 1) & F.arrays_overlap(w, F.array(*map(F.lit, gate))), near).otherwise(none)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license_id and dice of the best window and template (null if none reaches the threshold), and
     n_licenses, how many licences reach it."""
     text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    df = docs.select("doc_id", F.split(text, " ").alias("words"))
-    df = df.select("doc_id", F.concat(*[_hits(b, threshold) for b in batches(templates)]).alias("hits"))
+    df = docs.select("doc_id", _once(F.split(text, " "), lambda w: F.concat(*[_hits(b, threshold, w) for b in batches(templates)])).alias("hits"))
     df = df.select("doc_id", "hits", F.array_max(F.transform("hits", lambda x: x["dice"])).alias("dice"))
     best = F.filter("hits", lambda x: x["dice"] == F.col("dice"))
     return df.select(
