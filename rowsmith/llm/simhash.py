@@ -12,6 +12,10 @@ most 65,536 distinct members, so no task holds an unbounded group. A group repor
 links, not all pairs. Components come from alternating large-star and small-star steps over tables in the
 shared folder; nothing is collected.
 
+`similar_groups`, the pipeline's stage, asks for a shingle similarity instead of differing bits. It has fingerprints
+of 64 * WIDE bits and the same index over them (`GrayForest`, a tree for each group): every link between different
+sets is a pair that a search of the index found and the shingles confirmed.
+
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle:
 the whole sequence is the one shingle; a null doc_id counts after all others; repeated rows each get a row.
 """
@@ -246,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     return join_copies(fps, whole, ["fp"]).select("doc_id", "fp", "component_id")
 
 
-# Near duplicates by similarity: wider fingerprints, sampled bits, verified on the shingles themselves.
+# Near duplicates by similarity: wider fingerprints, the index over them, verified on the shingles themselves.
 
 WIDE = 4  # 64-bit words of a fingerprint
 TABLES = 16
@@ -257,7 +261,82 @@ ALL_PAIRS = 16  # groups up to this size give all their close pairs, larger ones
 SAMPLE_SETS = 16_000  # sets in which shingles are counted for the order of the exact join
 COMMON = 100_000  # shingles that the order knows to be frequent
 SURE = 6.8  # standard deviations beyond the expected differing bits at which a pair can't be similar
-FEW_SHINGLES = 64  # sets under this size are compared without a look at the fingerprints
+FEW_SHINGLES = 64  # pairs with a set under this size are near at any number of differing bits
+PAIRS_AT_ONCE = 50_000  # arrays of a search stay under 2 MB, so that a worker gives them back
+
+
+def wide_gray_ranks(fps: np.ndarray) -> np.ndarray:
+    """`gray_rank` of rows of several words, the first word the highest."""
+    ranks = gray_rank(fps)
+    odd = ranks & np.uint64(1)  # the parity of each word
+    above = np.bitwise_xor.accumulate(odd, axis=1) ^ odd
+    return np.where(above == 1, ~ranks, ranks)
+
+
+class GrayForest:
+    """The index of `GrayIndex` over wide fingerprints, a tree for each of many groups; `group` numbers them from
+    0 on. Wanted are pairs of a group with rank[i] < rank[j], so a node also holds its members' highest rank, and
+    a search leaves it where none is wanted. A node's shared bits include its parent's, so the differences in
+    them are the sum from the root on."""
+
+    def __init__(self, fps: np.ndarray, group: np.ndarray, rank: np.ndarray) -> None:
+        self.order = np.lexsort((*wide_gray_ranks(fps).T[::-1], group))
+        self.fps, self.rank, self.group = fps[self.order], rank[self.order], group[self.order]
+        self.levels = []  # from leaves' parents on: shared mask, pattern, highest rank, first child, children
+        many = int(self.group[-1]) + 1 if len(fps) else 0
+        self.root, self.depth, self.top = (np.zeros(many, np.int64) for _ in range(3))  # of each group
+        ones, zeros, top, g, place = self.fps, ~self.fps, self.rank, self.group, np.arange(len(fps))
+        while len(g):
+            begin = np.flatnonzero(chunks.new_class(g))
+            nth = np.arange(len(g)) - np.repeat(begin, np.diff(np.r_[begin, len(g)]))
+            cuts = np.flatnonzero(nth % FAN == 0)
+            ones, zeros, top = np.bitwise_and.reduceat(ones, cuts), np.bitwise_and.reduceat(zeros, cuts), np.maximum.reduceat(top, cuts)
+            self.levels.append((ones | zeros, ones, top, place[cuts], np.diff(np.r_[cuts, len(g)])))
+            g = g[cuts]
+            fresh = chunks.new_class(g)
+            alone = fresh & np.r_[fresh[1:], True]  # a group's only node is its root
+            self.root[g[alone]], self.depth[g[alone]], self.top[g[alone]] = np.flatnonzero(alone), len(self.levels) - 1, top[alone]
+            place = np.flatnonzero(~alone)
+            ones, zeros, top, g = ones[place], zeros[place], top[place], g[place]
+
+    def search(self, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (query, member) of all wanted pairs of the queries at the places `at` within most[place] bits, and
+        their differing bits."""
+
+        def near(q: np.ndarray, x: np.ndarray, mask: np.ndarray | None, top: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+            ok = top[of] > self.rank[q]
+            q, of = q[ok], of[ok]
+            differ = self.fps[q] ^ x[of]
+            used = np.bitwise_count(differ if mask is None else differ & mask[of]).sum(axis=1, dtype=np.int64)
+            ok = used <= most[q]
+            return q[ok], of[ok], used[ok]
+
+        depth = self.depth[self.group[at]]
+        q = node = np.zeros(0, np.int64)
+        for d in range(len(self.levels) - 1, -1, -1):
+            shared, pattern, top, first, many = self.levels[d]
+            q, node, _ = near(q, pattern, shared, top, node)
+            start = at[depth == d]  # a query is a member of its group, so no bit differs at the root
+            q, node = np.r_[q, start], np.r_[node, self.root[self.group[start]]]
+            size = many[node]
+            node = np.repeat(first[node] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            q = np.repeat(q, size)
+        return near(q, self.fps, None, self.rank, node)
+
+    def pairs(self, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows i, j as given, and differing bits, of all wanted pairs within most[i] bits, in parts."""
+        at = np.flatnonzero(self.top[self.group] > self.rank)
+        work, most, done = np.cumsum(np.bincount(self.group)[self.group[at]]), most[self.order], 0
+        while done < len(at):
+            upto = max(done + 1, int(np.searchsorted(work, (work[done - 1] if done else 0) + PAIRS_AT_ONCE)))
+            i, j, used = self.search(at[done:upto], most)
+            yield self.order[i], self.order[j], used
+            done = upto
+
+
+def wide_pairs(fps: np.ndarray, group: np.ndarray, rank: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """`GrayForest.pairs` of the rows."""
+    return GrayForest(fps, group, rank).pairs(most)
 
 
 def _bit_sets(tables: int, bits: int, seed: int) -> np.ndarray:
@@ -310,8 +389,8 @@ def _stir(h: np.ndarray, i: int) -> np.ndarray:
 
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: nodes (distinct shingle sets) whose wide fingerprints are close and agree on a table's bits. Not all of
-    them: groups are reduced and the largest cut, so that copies are settled cheaply before `exact_pairs`."""
+    """a, b: nodes (distinct shingle sets) whose wide fingerprints are close, by the index of each group of those that
+    agree on a table's bits. Not all of them: groups are reduced and the largest cut, so that copies are settled cheaply before `exact_pairs`."""
     f = [f"f{i}" for i in range(WIDE)]
     most = most_bits(similarity)
 
@@ -354,13 +433,12 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         cut = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
         size = np.diff(np.r_[cut, len(rows)])
         fps, node = np.ascontiguousarray(rows[:, 3:]).view(np.uint64), rows[:, 2]
-        a, b = [], []
-        group, small = np.repeat(np.arange(len(cut)), size), np.repeat(size <= ALL_PAIRS, size)
-        for shift in range(1, ALL_PAIRS):
-            i = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:]))
-            i = i[np.bitwise_count(fps[i] ^ fps[i + shift]).sum(axis=1) <= most]
-            a.append(node[i])
-            b.append(node[i + shift])
+        a, b = [node[:0]], [node[:0]]
+        few = np.flatnonzero(np.repeat(size <= ALL_PAIRS, size))
+        own = np.repeat(np.arange(int((size <= ALL_PAIRS).sum())), size[size <= ALL_PAIRS])
+        for x, y, _ in wide_pairs(fps[few], own, np.arange(len(few)), np.full(len(few), most)):
+            a.append(node[few[x]])
+            b.append(node[few[y]])
         for g in np.flatnonzero(size > ALL_PAIRS).tolist():
             for at in range(int(cut[g]), int(cut[g] + size[g]), GROUP):  # exact_pairs has the pairs across
                 x, y = _closest(fps[at : min(at + GROUP, cut[g] + size[g])], most)
@@ -377,15 +455,10 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def _closest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the close pairs, built from the closest pairs on, block by block."""
+    """A spanning forest of the close pairs, built from the closest pairs on, part by part."""
     kept = np.zeros((0, 3), np.int64)
-    for at in range(0, len(fps), 256):
-        block = fps[at : at + 256]
-        d = np.bitwise_count(block[:, None, :] ^ fps[None, : at + len(block), :]).sum(axis=2)
-        x, y = np.nonzero(d <= most)
-        ok = y < x + at
-        new = np.stack([d[x[ok], y[ok]], x[ok] + at, y[ok]], axis=1).astype(np.int64)
-        kept = np.concatenate([kept, new])
+    for x, y, d in wide_pairs(fps, np.zeros(len(fps), np.int64), np.arange(len(fps)), np.full(len(fps), most)):
+        kept = np.concatenate([kept, np.stack([d, x, y], axis=1)])
         kept = kept[np.argsort(kept[:, 0], kind="stable")]
         pairs = forest(kept[:, 1], kept[:, 2])
         distance = {(int(p), int(q)): int(k) for k, p, q in kept}
@@ -477,8 +550,8 @@ def shared_shingles(short: DataFrame) -> DataFrame:
 def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
     """a, b: pairs of nodes in different components, every pair of similar sets among them; `named` has node,
     set_id, root. Two sets of similarity t share at least t / (1 + t) of their sizes' sum, so under one order of
-    all shingles their prefixes share one; places in the prefixes bound what they can share, and fingerprints
-    that differ in too many bits rule a pair out."""
+    all shingles their prefixes share one, and each shared shingle makes a group. The Gray-order index of a group
+    finds the pairs whose fingerprints are near enough; places in the prefixes bound what these can share."""
     common = common_shingles(named, table)
     need, most = similarity / (1 + similarity), sure_bits(similarity)
     f = [f"f{i}" for i in range(WIDE)]
@@ -509,33 +582,30 @@ def exact_pairs(table: DataFrame, named: DataFrame, similarity: float) -> DataFr
             yield from compare(np.concatenate(held))
 
     def compare(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group and root; each row meets the later ones of its group with another root."""
+        """Rows come sorted by group and root; the index gives the near pairs of a group with different roots. The
+        query is of the root with fewer rows in the group, so those of a large component aren't paired."""
+        if not len(rows):
+            return
+        first = chunks.new_class(rows[:, 0], rows[:, 1], rows[:, 4])  # of its group and root
+        group = np.cumsum(chunks.new_class(rows[:, 0], rows[:, 1])) - 1
+        several = np.bincount(group[first])[group] > 1
+        rows, root = rows[several], (np.cumsum(first) - 1)[several]
         if not len(rows):
             return
-        cut = np.flatnonzero(chunks.new_class(rows[:, 0], rows[:, 1]))
-        end = np.repeat(np.r_[cut[1:], len(rows)], np.diff(np.r_[cut, len(rows)]))
-        cut = np.flatnonzero(chunks.new_class(rows[:, 0], rows[:, 1], rows[:, 4]))
-        first = np.repeat(np.r_[cut[1:], len(rows)], np.diff(np.r_[cut, len(rows)]))  # of another root
-        many = np.maximum(end - first, 0)
-        at = 0
-        while at < len(rows):
-            upto = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), 500_000)) + at)
-            size = many[at:upto]
-            i = np.repeat(np.arange(at, upto), size)
-            j = np.repeat(first[at:upto] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            yield from emit(rows, i, j)
-            at = upto
-
-    def emit(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(chunks.new_class(rows[:, 0], rows[:, 1])) - 1
+        rank = np.argsort(np.argsort(np.bincount(root), kind="stable"), kind="stable")[root]
+        reach = np.where(similarity * rows[:, 5] < FEW_SHINGLES + 1e-6, 64 * WIDE, most)
+        for i, j, differ in wide_pairs(np.ascontiguousarray(rows[:, 7:]).view(np.uint64), group, rank, reach):
+            yield from emit(rows, i, j, differ)
+
+    def emit(rows: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> Iterator[pa.RecordBatch]:
         own, node, n, place = rows[:, 2], rows[:, 3], rows[:, 5], rows[:, 6]
         ok = (own[i] != own[j]) | (own[i] < 0)  # a group of two blocks compares across them only
+        ok &= (differ <= most) | (np.minimum(n[i], n[j]) < FEW_SHINGLES)
         i, j = i[ok], j[ok]
         both = np.ceil(need * (n[i] + n[j]) - 1e-6)
         can = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
         ok = (can >= both) & (place[i] <= n[i] - both) & (place[j] <= n[j] - both)
-        i, j = i[ok], j[ok]
-        differ = np.bitwise_count((rows[i, 7:] ^ rows[j, 7:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        ok = (differ <= most) | (np.minimum(n[i], n[j]) < FEW_SHINGLES)
         pairs = np.unique(np.sort(np.stack([node[i[ok]], node[j[ok]]], axis=1), axis=1), axis=0)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
@@ -592,12 +662,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """doc_id, component_id of every row with a doc_id: documents whose sets of `words`-word shingles have a
     Jaccard similarity of at least `similarity`, directly or through others, share the smallest doc_id.
 
-    Equal sets are one node. First, fingerprints of 64 * WIDE bits send each node to TABLES groups by sampled
-    bits; close pairs of a group are verified on the shingles, and those that pass make components. This finds
-    most links but not all, and decides no pair against a link. Then a prefix-filtered join on the shingles gives
-    every pair of different components that can be similar; fingerprints over `sure_bits` apart rule a pair out,
-    the others are verified on the shingles, so no link is lost but by the chance that `sure_bits` gives. Null
-    doc_ids have no row here.
+    Equal sets are one node. Nodes have fingerprints of 64 * WIDE bits and are dealt into groups; the Gray-order
+    index of each group finds its near pairs, which are verified on the shingles. In a first round groups agree on
+    sampled bits (TABLES ways); this finds most links but not all, and decides no pair against a link. In the
+    second the members of a group share a rare shingle, so every pair of different components that can be similar
+    meets in one, and the index is searched up to `sure_bits`, for sets that may pair with one under FEW_SHINGLES
+    up to all bits. So no link is lost but by the chance that `sure_bits` gives. Null doc_ids have no row here.
     """
     f = [f"f{i}" for i in range(WIDE)]
     spark, mark = docs.sparkSession, made()

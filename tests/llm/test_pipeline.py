@@ -5,6 +5,8 @@ from collections import Counter
 
 sys.path[:0] = [os.path.dirname(__file__), os.path.dirname(os.path.dirname(__file__))]
 import brute
+import numpy as np
+import pytest
 from oracle import SF
 
 import corpus_pipeline
@@ -112,3 +114,35 @@ def test_large_groups_lose_no_pair(spark, monkeypatch):
     got = {r[0]: r[1] for r in simhash.similar_groups(docs).collect()}
     assert len(pairs) >= 60 and all(got[a] == got[b] for a, b in pairs)
     assert len(set(got.values())) == 60
+
+
+@pytest.mark.parametrize("at_once", [10, simhash.PAIRS_AT_ONCE])
+def test_gray_forest(monkeypatch, at_once):
+    """The wide index gives all wanted pairs of every group within the limit, each once."""
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(1)
+    sizes = [1, 2, 8, 9, 64, 65, 1, 150]
+    group = rng.permutation(np.repeat(np.arange(len(sizes)), sizes))
+    n = len(group)
+    flips = rng.random((n, 64 * simhash.WIDE)) < rng.choice([0.02, 0.1, 0.2], n)[:, None]
+    fps = rng.integers(0, 1 << 63, (2, simhash.WIDE)).astype(np.uint64)[rng.integers(0, 2, n)] ^ np.packbits(flips, axis=1).view(np.uint64)
+    rank, most = rng.integers(0, 30, n), rng.choice([10, 58, 78, 64 * simhash.WIDE], n)
+    got = [p for part in simhash.wide_pairs(fps, group, rank, most) for p in zip(*(x.tolist() for x in part), strict=True)]
+    bits = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=np.int64)
+    want = np.argwhere((group[:, None] == group[None]) & (rank[:, None] < rank[None]) & (bits <= most[:, None]))
+    assert sorted(got) == sorted((i, j, int(bits[i, j])) for i, j in want.tolist())
+    assert 0 < len(got) < (group[:, None] == group[None]).sum() / 2
+
+
+def test_the_gray_index_decides(spark, monkeypatch):
+    """The stage's links come out of operator 9's index: without what it finds there are none."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    texts = []
+    for _ in range(20):
+        own = [word() for _ in range(100)]
+        texts += [own, own[:95] + [word() for _ in range(5)]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    assert {r[0]: r[1] for r in simhash.similar_groups(docs).collect()} == {i: i - i % 2 for i in range(40)}
+    monkeypatch.setattr(simhash, "wide_pairs", lambda *rows: iter(()))
+    assert {r[0]: r[1] for r in simhash.similar_groups(docs).collect()} == {i: i for i in range(40)}
